@@ -33,7 +33,7 @@ def grid(months: DataFrame, companies: list[str]) -> DataFrame:
     )
 
 
-def _against(ours: DataFrame, rule: str, tolerance: float) -> DataFrame:
+def compare_totals(ours: DataFrame, rule: str, tolerance: float) -> DataFrame:
     """Rows of (month, company, ours, theirs) judged against the tolerance."""
     diff = F.col("ours") - F.col("theirs")
     detail = F.concat(
@@ -68,7 +68,7 @@ def reconcile(
         counted.groupBy("month").agg(F.sum("ours").alias("ours")).withColumn("company", F.lit(BOTH))
         .join(overall.withColumnRenamed("total", "theirs"), "month", "left")
     )
-    return union(_against(each, rule, tolerance), _against(together, rule, tolerance))
+    return union(compare_totals(each, rule, tolerance), compare_totals(together, rule, tolerance))
 
 
 def totals_present(

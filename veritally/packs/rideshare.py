@@ -394,11 +394,11 @@ _STEPS = (
 )
 
 
-def sample_order(steps=_STEPS) -> str:
-    text = "17"
+def sample_order(steps=_STEPS, remainder: str = "pmod({value}, {prime})") -> str:
+    text = "CAST(17 AS BIGINT)"
     for step in steps:
-        text = f"pmod(({text}) * 48271 + coalesce({step}, 0), {_PRIME})"
-    return f"pmod(({text}) * 1103515245, {_PRIME})"
+        text = remainder.format(value=f"{text} * 48271 + coalesce({step}, 0)", prime=_PRIME)
+    return remainder.format(value=f"{text} * 1103515245", prime=_PRIME)
 
 
 RIDESHARE = RulePack(

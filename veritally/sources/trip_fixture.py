@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritally.functions import clock
 from veritally.session import spread
 
 
@@ -116,3 +117,60 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderstatus").alias("service_zone"),
         )
     )
+
+
+# What goes with the trips: a month named 1900-01 holds misfiled rows and was never published.
+NO_MONTH = "1900-01"
+NOT_DATED = "1996-06"
+CAUSES = {
+    "1995-12-25": "Christmas Day",
+    "1996-07-04": "Independence Day",
+    "1997-11-27": "Thanksgiving",
+    "1999-01-01": "New Year's Day",
+    "2000-12-25": "Christmas Day",
+}
+
+
+def published(trips: DataFrame) -> DataFrame:
+    """(month, published): later in the year means later after the month; one month has no date."""
+    month = F.col("month")
+    number = F.substring(month, 6, 2).cast("int")
+    return trips.select(F.col("file_month").alias("month")).where(month != NO_MONTH).distinct().select(
+        "month", F.when(month != NOT_DATED, F.date_add(clock.month_end(month), 20 + 7 * number)).alias("published")
+    )
+
+
+def schemas(months: DataFrame, schema: tuple) -> DataFrame:
+    """(month, schema): as documented, but for a missing, a swapped, and a retyped and an added column."""
+
+    def listed(fields):
+        return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in fields])
+
+    first = months.agg(F.min("month").alias("first"))
+    retyped = [(n, "double" if n == "trip_time" else t) for n, t in schema] + [("congestion_zone", "int")]
+    column = (
+        F.when(F.col("month") == F.col("first"), listed(schema[:-1]))
+        .when(F.col("month") == "1997-03", listed([schema[1], schema[0], *schema[2:]]))
+        .when(F.col("month") == "1998-05", listed(retyped))
+        .otherwise(listed(schema))
+    )
+    return months.crossJoin(first).select("month", column.alias("schema"))
+
+
+def aggregate(company_trips: DataFrame) -> DataFrame:
+    """Published totals as their file has them: no December, a twentieth less in May and October."""
+    number = F.substring("month", 6, 2).cast("int")
+    short = F.when(number % 5 == 0, F.floor(F.col("trips") / 20)).otherwise(0)
+    return company_trips.where(number != 12).where(F.col("month") != NO_MONTH).select(
+        F.upper("company").alias("base_license_number"), F.substring("month", 1, 4).cast("int").alias("year"),
+        number.alias("month"), (F.col("trips") - short).alias("total_dispatched_trips"),
+    )
+
+
+def indicators(company_trips: DataFrame) -> DataFrame:
+    """Trips per day as their file has them, with thousands commas; no November."""
+    month = F.col("month")
+    per_day = F.floor(F.sum("trips") / F.first(clock.days_in_month(month)))
+    return company_trips.where(month != NO_MONTH).where(F.substring(month, 6, 2) != "11").groupBy("month").agg(
+        F.format_number(per_day, 0).alias("Trips Per Day")
+    ).withColumnRenamed("month", "Month/Year")
