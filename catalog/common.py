@@ -62,10 +62,12 @@ class Inputs:
         return trip_fixture.published(self.trips)
 
     def aggregate(self) -> DataFrame:
-        return readers.aggregate_totals(trip_fixture.aggregate(month_job.company_trips(self.trips)))
+        raw = trip_fixture.reference_files(month_job.company_trips(self.trips))
+        return readers.aggregate_totals(raw["aggregate"])
 
     def indicators(self) -> DataFrame:
-        return readers.indicator_totals(trip_fixture.indicators(month_job.company_trips(self.trips)))
+        raw = trip_fixture.reference_files(month_job.company_trips(self.trips))
+        return readers.indicator_totals(readers.select_indicators(raw["indicators"], first="1990-01"))
 
     def facts(self) -> DataFrame:
         published = self.published()
@@ -85,5 +87,11 @@ def results(spark: SparkSession, sf_dir: str) -> ResultStore:
         published = inputs.published().checkpoint()
         schemas = trip_fixture.schemas(published.select("month"), rideshare.SCHEMA)
         month_job.run_months(inputs.trips, inputs.zones, published, schemas, store)
+        # The published totals arrive as CSV files.
+        for name, raw in trip_fixture.reference_files(month_job.company_trips(inputs.trips)).items():
+            raw.coalesce(1).write.csv(f"{store.base}/reference/{name}", header=True)
+        aggregate = readers.read_aggregate(spark, f"{store.base}/reference/aggregate")
+        indicators = readers.read_indicators(spark, f"{store.base}/reference/indicators", first="1990-01")
+        cross_month.build(store, aggregate, indicators, inputs.causes)
         _landed[key] = store
     return _landed[key]

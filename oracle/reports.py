@@ -175,7 +175,7 @@ WHERE rule LIKE '@%/business rule' OR rule LIKE '@%/documentation gap' GROUP BY
 cte("y_found", f"SELECT month, company, {FOUND} AS found, count(*) AS rules FROM y_status GROUP BY ALL")
 
 
-def compared(table: str, measures: dict, by: list[str]) -> str:
+def compared(table: str, measures: dict, by: list[str], places: int = 6) -> str:
     """Long rows of measures against the row before, as the KPI tiles compare them."""
     keys = "".join(f"{b}, " for b in by)
     long = " UNION ALL ".join(
@@ -183,7 +183,7 @@ def compared(table: str, measures: dict, by: list[str]) -> str:
         for m, (kind, better) in measures.items()
     )
     return f"""
-SELECT month, {keys}measure, round(value, 6) AS value, round(prior, 6) AS prior, round(change, 6) AS change,
+SELECT month, {keys}measure, round(value, {places}) AS value, round(prior, {places}) AS prior, round(change, {places}) AS change,
   CASE WHEN better IS NULL OR abs(change) < 0.0005 OR change IS NULL THEN NULL
        WHEN (change > 0) = (better = 'up') THEN 'good' ELSE 'bad' END AS tone
 FROM (SELECT *, CASE WHEN prior = 0 THEN NULL WHEN kind = 'points' THEN value - prior ELSE value / prior - 1 END AS change
@@ -208,8 +208,8 @@ cte("z_company", f"SELECT month, company, {SUMMED} FROM x_daily GROUP BY ALL")
 
 def zone_sql(month: str) -> str:
     return f"""
-SELECT zone_id, coalesce(name, 'Zone ' || zone_id) AS zone, borough, trips::BIGINT AS trips, round(fares, 6) AS fares,
-  round(CASE WHEN trips > 0 THEN fares / trips END, 6) AS avg_fare, round(CASE WHEN trips > 0 THEN driver_pay / trips END, 6) AS pay_per_trip,
-  round(CASE WHEN wait_trips > 0 THEN wait_seconds / wait_trips / 60 END, 6) AS wait_minutes,
-  round(CASE WHEN trips > 0 THEN miles / trips END, 6) AS miles, airport_trips::BIGINT AS airport_trips
+SELECT zone_id, coalesce(name, 'Zone ' || zone_id) AS zone, borough, trips::BIGINT AS trips, round(fares, 9) AS fares,
+  round(CASE WHEN trips > 0 THEN fares / trips END, 9) AS avg_fare, round(CASE WHEN trips > 0 THEN driver_pay / trips END, 9) AS pay_per_trip,
+  round(CASE WHEN wait_trips > 0 THEN wait_seconds / wait_trips / 60 END, 9) AS wait_minutes,
+  round(CASE WHEN trips > 0 THEN miles / trips END, 9) AS miles, airport_trips::BIGINT AS airport_trips
 FROM (SELECT zone_id, min(zone) AS name, min(borough) AS borough, {SUMMED} FROM x_zone_rows WHERE month = '{month}' GROUP BY zone_id)"""

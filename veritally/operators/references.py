@@ -17,10 +17,10 @@ def small_side(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
 
 
-def mark_known(df: DataFrame, column: str, reference: DataFrame, key: str, flag: str) -> DataFrame:
-    """Add ``flag``: true where ``column`` is a key of the reference, null where it is null."""
-    keys = reference.select(F.col(key).alias(f"{flag}_key")).where(F.col(f"{flag}_key").isNotNull()).distinct()
-    joined = df.join(small_side(keys), F.col(column) == F.col(f"{flag}_key"), "left")
-    return joined.withColumn(
-        flag, F.when(F.col(column).isNotNull(), F.col(f"{flag}_key").isNotNull())
-    ).drop(f"{flag}_key")
+def mark_known(df: DataFrame, flags: dict[str, str], reference: DataFrame, key: str) -> DataFrame:
+    """For each column → flag: true where the column is a key of the reference, null where null."""
+    keys = small_side(reference.select(F.col(key).alias("known_key")).where("known_key IS NOT NULL").distinct())
+    for column, flag in flags.items():
+        found = df.join(keys, F.col(column) == F.col("known_key"), "left")
+        df = found.withColumn(flag, F.when(F.col(column).isNotNull(), F.col("known_key").isNotNull())).drop("known_key")
+    return df

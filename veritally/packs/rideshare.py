@@ -96,7 +96,11 @@ def trip_view(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     the optimiser drops them, and with them the lookup joins.
     """
     pickup, dropoff = F.col("pickup_datetime"), F.col("dropoff_datetime")
-    view = trips.where(F.col("hvfhs_license_num").isin(*COMPANIES)).select(
+    trips = trips.where(F.col("hvfhs_license_num").isin(*COMPANIES))
+    if zones is not None:
+        # Before the derived columns, so that those end up in the projection that uses them.
+        trips = mark_known(trips, {"PULocationID": "pu_known", "DOLocationID": "do_known"}, zones, "LocationID")
+    return trips.select(
         "*",
         company().alias("company"),
         F.to_date(pickup).alias("day"),
@@ -106,10 +110,6 @@ def trip_view(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
         (F.col("PULocationID").isin(*AIRPORTS) | F.col("DOLocationID").isin(*AIRPORTS)).alias("touches_airport"),
         (clock.month_index(pickup) - clock.month_text_index(F.col("file_month"))).alias("months_off"),
     )
-    if zones is not None:
-        view = mark_known(view, "PULocationID", zones, "LocationID", "pu_known")
-        view = mark_known(view, "DOLocationID", zones, "LocationID", "do_known")
-    return view
 
 
 def company():

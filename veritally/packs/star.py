@@ -22,7 +22,7 @@ def line_view(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFr
     """Order lines with their order's date and status, and whether their part is known."""
     heads = orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
     lines = lineitem.join(heads, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return mark_known(lines, "l_partkey", part, "p_partkey", "part_known").withColumn(
+    return mark_known(lines, {"l_partkey": "part_known"}, part, "p_partkey").withColumn(
         "ship_month", F.date_format("l_shipdate", "yyyy-MM")
     )
 
@@ -94,7 +94,7 @@ EVENTS = RulePack(
 
 
 def label_view(labels: DataFrame, documents: DataFrame) -> DataFrame:
-    return mark_known(labels, "doc_id", documents, "doc_id", "document_known")
+    return mark_known(labels, {"doc_id": "document_known"}, documents, "doc_id")
 
 
 LABELS = RulePack(

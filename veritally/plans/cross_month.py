@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators import files, volume
 from veritally.packs import rideshare
+from veritally.sources.store import ResultStore
 
 COMPANIES = list(rideshare.COMPANIES.values())
 
@@ -38,6 +39,14 @@ def month_results(
     )
 
 
+def build(store: ResultStore, aggregate: DataFrame, indicators: DataFrame, causes: DataFrame, expected_schema=None) -> None:
+    """Judge every finished month and publish the results and the volume series."""
+    facts, daily = store.read("facts"), store.read("daily")
+    schema = expected_schema or list(rideshare.SCHEMA)
+    store.publish("month_results", month_results(facts, daily, aggregate, indicators, causes, schema))
+    store.publish("volume", volume_series(daily, causes))
+
+
 def metadata(tables: dict[str, DataFrame], rules: int) -> DataFrame:
     """One row: months, rows per table, number of rules, time built."""
     counts = None

@@ -14,9 +14,8 @@ def window(published: DataFrame, keep: int) -> DataFrame:
     """The newest published month and those before it, ``keep`` in all."""
     newest = published.agg(F.max(_date(F.col("month"))).alias("newest")).where("newest IS NOT NULL")
     first = F.add_months("newest", F.lit(1 - keep))
-    return newest.select(
-        F.date_format(F.explode(F.sequence(first, F.col("newest"), F.expr("INTERVAL 1 MONTH"))), "yyyy-MM").alias("month")
-    )
+    days = newest.select(F.explode(F.sequence(first, F.col("newest"), F.expr("INTERVAL 1 MONTH"))).alias("start"))
+    return days.select(F.date_format("start", "yyyy-MM").alias("month"))
 
 
 def missing(wanted: DataFrame, done: DataFrame) -> DataFrame:

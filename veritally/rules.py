@@ -112,6 +112,11 @@ class RulePack:
                 out.setdefault(f"@{scope}/{rule.verdict}", []).append(rule.id)
         return out
 
+    @property
+    def shown_columns(self) -> list[str]:
+        """The keys and every column an example record shows."""
+        return list(dict.fromkeys([*self.keys, *(c for r in self.record_rules for c in r.shows)]))
+
     def only(self, *ids: str) -> "RulePack":
         """The same pack with fewer rules."""
         missing = set(ids) - {r.id for r in self.rules}

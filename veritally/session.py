@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     # Trip timestamps are wall-clock values without an offset; UTC keeps them as written.
     "spark.sql.session.timeZone": "UTC",
-    # A rule pack is one very wide projection. Fused into one generated method it passes the
-    # JVM's limit for compilation (8000 bytes) and runs interpreted; past this limit Spark
-    # generates it in small methods instead. Measured: 4.0 s against 1.6 s on 600,000 trips.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
+# A rule pack is one very wide projection. Fused into one generated method it passes the JVM's
+# limit for compilation (8000 bytes) and runs interpreted; past this setting's limit Spark
+# generates it in small methods instead (4.0 s against 1.6 s on 600,000 trips). Executors
+# started with the flag below compile huge methods too, which is the fastest on large data,
+# so then the setting stays as it is.
+HUGE_METHODS = ("spark.sql.codegen.hugeMethodLimit", "8000")
+COMPILES_HUGE = "-XX:-DontCompileHugeMethods"
 
 
 def local_session(cpus: int | str = 8, app: str = "veritally", **extra: str) -> SparkSession:
@@ -33,13 +32,15 @@ def local_session(cpus: int | str = 8, app: str = "veritally", **extra: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Put the settings on a session made elsewhere; all of them can change at run time."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if COMPILES_HUGE not in spark.conf.get("spark.executor.extraJavaOptions", ""):
+        spark.conf.set(*HUGE_METHODS)
     return spark
 
 

@@ -78,14 +78,14 @@ def aggregate_totals(aggregate: DataFrame) -> DataFrame:
     )
 
 
-def read_indicators(spark: SparkSession, path: str) -> DataFrame:
-    return indicator_totals(select_indicators(spark.read.schema(INDICATORS).csv(path, header=True)))
+def read_indicators(spark: SparkSession, path: str, first: str = INDICATORS_FROM) -> DataFrame:
+    return indicator_totals(select_indicators(spark.read.schema(INDICATORS).csv(path, header=True), first))
 
 
-def select_indicators(indicators: DataFrame) -> DataFrame:
+def select_indicators(indicators: DataFrame, first: str = INDICATORS_FROM) -> DataFrame:
     """The licence class and months that are used, oldest first."""
     return indicators.where(
-        (F.col("License Class") == INDICATOR_CLASS) & (F.col("Month/Year") >= INDICATORS_FROM)
+        (F.col("License Class") == INDICATOR_CLASS) & (F.col("Month/Year") >= first)
     ).select(
         "Month/Year", "License Class", "Trips Per Day", "Unique Drivers", "Unique Vehicles", "Trips Per Day Shared"
     ).orderBy("Month/Year")

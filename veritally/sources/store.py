@@ -14,14 +14,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.operators.references import small_side
-
+MARKER = "month string, run string"
 TABLES = ("quality", "daily", "hourly", "zones", "facts", "examples")
 
 
 class ResultStore:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
+        self._current: dict[str, str] | None = None
+        self._tables: dict[tuple, DataFrame] = {}
 
     def new_run(self) -> str:
         return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
@@ -38,49 +39,67 @@ class ResultStore:
         """Make the run's months visible; the last thing a run writes."""
         (months.select("month").distinct().withColumn("run", F.lit(run)).coalesce(1)
          .write.mode("append").parquet(f"{self.base}/finished"))
+        self._current = None
 
     def _exists(self, path: str) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def finished(self) -> DataFrame:
-        """(month, run): the latest finished run of each month."""
-        if not self._exists(f"{self.base}/finished"):
-            return self.spark.createDataFrame([], "month string, run string")
-        rows = self.spark.read.schema("month string, run string").parquet(f"{self.base}/finished")
-        return rows.groupBy("month").agg(F.max("run").alias("run"))
+    def finished(self) -> dict[str, str]:
+        """Month → its latest finished run. A line per month of the calendar, so the driver can hold it."""
+        if self._current is None:
+            self._current = {}
+            if self._exists(f"{self.base}/finished"):
+                rows = self.spark.read.schema(MARKER).parquet(f"{self.base}/finished")
+                self._current = dict(map(tuple, rows.groupBy("month").agg(F.max("run")).collect()))
+        return self._current
+
+    def months(self) -> DataFrame:
+        """The finished months. A run finishes a month only with all its tables written."""
+        return self.spark.createDataFrame([(m,) for m in sorted(self.finished())], "month string")
 
     def read(self, table: str, months: list[str] | None = None) -> DataFrame:
-        """A table's finished months; partitions of other months and runs are not opened."""
-        current = small_side(self.finished())
-        rows = self.spark.read.parquet(f"{self.base}/{table}")
-        # Partition values stay text: inference would read 2026-06 as a date.
-        rows = rows.withColumns({
-            "month": F.date_format("month", "yyyy-MM") if dict(rows.dtypes)["month"] == "date" else F.col("month"),
-            "run": F.col("run").cast("string"),
-        })
-        if months is not None:
-            rows = rows.where(F.col("month").isin(months))
-        return rows.join(current, ["month", "run"]).drop("run")
-
-    def months(self, tables: tuple[str, ...] = TABLES) -> DataFrame:
-        """Months that every table has rows for: the only ones reports use."""
-        return complete_months([self.read(t) for t in tables])
+        """A table's finished months: only their directories are listed and read."""
+        wanted = {m: r for m, r in self.finished().items() if months is None or m in months}
+        paths = [f"{self.base}/{table}/month={m}/run={r}" for m, r in sorted(wanted.items())]
+        key = (table, tuple(paths))
+        if key not in self._tables:
+            paths = [p for p in paths if self._exists(p)]
+            if not paths:
+                raise FileNotFoundError(f"no finished month of {table} in {self.base}")
+            rows = self.spark.read.option("basePath", f"{self.base}/{table}").parquet(*paths)
+            # Partition values stay text: inference would read 2026-06 as a date.
+            month = F.date_format("month", "yyyy-MM") if dict(rows.dtypes)["month"] == "date" else F.col("month")
+            self._tables[key] = rows.withColumn("month", month).drop("run")
+        return self._tables[key]
+
+    def publish(self, name: str, df: DataFrame) -> None:
+        """Replace a small table that spans months. Readers take the latest one written whole."""
+        path = f"{self.base}/across/{name}/{self.new_run()}"
+        df.coalesce(1).write.option("compression", "zstd").parquet(path)
+        self.spark.createDataFrame([(name, path)], MARKER).coalesce(1).write.mode("append").parquet(
+            f"{self.base}/published"
+        )
+
+    def published(self, name: str) -> DataFrame:
+        rows = self.spark.read.schema(MARKER).parquet(f"{self.base}/published").where(F.col("month") == name)
+        return self.spark.read.parquet(rows.agg(F.max("run")).first()[0])
 
     def retire(self, stale: list[str], confirmed: bool) -> list[str]:
         """Delete months outside a window; nothing unless the window is confirmed."""
         if not confirmed or not stale:
             return []
-        kept = [tuple(r) for r in self.finished().where(~F.col("month").isin(stale)).collect()]
+        kept = [(m, r) for m, r in self.finished().items() if m not in stale]
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         conf = self.spark._jsc.hadoopConfiguration()
         # The marker goes first: a month half deleted is then not visible.
-        (self.spark.createDataFrame(kept, "month string, run string").coalesce(1)
+        (self.spark.createDataFrame(kept, MARKER).coalesce(1)
          .write.mode("overwrite").parquet(f"{self.base}/finished"))
         for table in TABLES:
             for month in stale:
                 path = fs_path(f"{self.base}/{table}/month={month}")
                 path.getFileSystem(conf).delete(path, True)
+        self._current = None
         return stale
 
 

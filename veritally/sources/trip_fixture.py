@@ -157,20 +157,26 @@ def schemas(months: DataFrame, schema: tuple) -> DataFrame:
     return months.crossJoin(first).select("month", column.alias("schema"))
 
 
-def aggregate(company_trips: DataFrame) -> DataFrame:
-    """Published totals as their file has them: no December, a twentieth less in May and October."""
+def reference_files(company_trips: DataFrame) -> dict[str, DataFrame]:
+    """Published totals with the columns of their files.
+
+    aggregate: no December, a twentieth less in May and October. indicators: trips per day
+    written with thousands commas, no November, and a row of another licence class.
+    """
+    trips = company_trips.where(F.col("month") != NO_MONTH)
     number = F.substring("month", 6, 2).cast("int")
     short = F.when(number % 5 == 0, F.floor(F.col("trips") / 20)).otherwise(0)
-    return company_trips.where(number != 12).where(F.col("month") != NO_MONTH).select(
+    none = F.lit(0).cast("bigint")
+    aggregate = trips.where(number != 12).select(
         F.upper("company").alias("base_license_number"), F.substring("month", 1, 4).cast("int").alias("year"),
         number.alias("month"), (F.col("trips") - short).alias("total_dispatched_trips"),
+        none.alias("total_dispatched_shared_trips"), none.alias("unique_dispatched_vehicles"),
     )
-
-
-def indicators(company_trips: DataFrame) -> DataFrame:
-    """Trips per day as their file has them, with thousands commas; no November."""
-    month = F.col("month")
-    per_day = F.floor(F.sum("trips") / F.first(clock.days_in_month(month)))
-    return company_trips.where(month != NO_MONTH).where(F.substring(month, 6, 2) != "11").groupBy("month").agg(
-        F.format_number(per_day, 0).alias("Trips Per Day")
-    ).withColumnRenamed("month", "Month/Year")
+    per_day = F.floor(F.sum("trips") / F.first(clock.days_in_month(F.col("month"))))
+    monthly = trips.where(number != 11).groupBy("month").agg(F.format_number(per_day, 0).alias("Trips Per Day"))
+    classes = F.explode(F.array(F.lit("FHV - High Volume"), F.lit("Yellow")))
+    indicators = monthly.select(
+        F.col("month").alias("Month/Year"), classes.alias("License Class"), "Trips Per Day",
+        *[F.lit("0").alias(c) for c in ("Unique Drivers", "Unique Vehicles", "Trips Per Day Shared")],
+    )
+    return {"aggregate": aggregate, "indicators": indicators}
