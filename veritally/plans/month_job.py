@@ -70,6 +70,12 @@ def summary(trips: DataFrame, zones: DataFrame) -> DataFrame:
     return summaries.grains(summary_trips(trips, zones), GRAINS, measures())
 
 
+def one_grain(trips: DataFrame, zones: DataFrame, name: str) -> DataFrame:
+    """A single grain, aggregated directly: one shuffle of its own groups."""
+    rows = summaries.aggregate(summary_trips(trips, zones), GRAINS[name], measures())
+    return rows.withColumn("grain", F.lit(name))
+
+
 def _typed(df: DataFrame) -> DataFrame:
     """Counts as int, sums as double, dates as text: what the reports read."""
     counts = ("trips", "wait_trips", "airport_trips", "shared_trips", "wav_trips")

@@ -23,7 +23,7 @@ class Dialect:
     long: str = "BIGINT"
 
 
-SPARK = Dialect("timestampadd(SECOND, CAST({n} AS INT), {ts})", "date_format({ts}, 'yyyy-MM')")
+SPARK = Dialect("timestampadd(SECOND, CAST({n} AS INT), {ts})", "concat(year({ts}), '-', lpad(month({ts}), 2, '0'))")
 DUCKDB = Dialect("({ts} + to_seconds({n}))", "strftime({ts}, '%Y-%m')")
 
 TT = "(30 + (k * 31) % 5400 + CASE WHEN k % 301 = 0 THEN 20000 ELSE 0 END)"
