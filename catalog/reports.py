@@ -121,7 +121,7 @@ REPORTS = {
 
 
 # Means over a handful of trips end on a digit that six places would round either way.
-FINE = {"ops_kpis": 9, "ops_kpis_filtered": 9, "ops_zone_table": 9, "ops_zones_sorted": 9}
+FINE = {"ops_kpis": 9, "ops_kpis_filtered": 9, "ops_metrics": 9, "ops_zone_table": 9, "ops_zones_sorted": 9}
 
 
 def _report(name: str) -> Query:
@@ -137,7 +137,7 @@ def oracle() -> dict[str, str]:
     demand = f"SELECT dow, hour, sum(trips)::BIGINT AS trips FROM x_hourly WHERE month = '{MONTH}'"
     hours = ", ".join(f"(sum(trips) FILTER (WHERE hour = {h}))::BIGINT AS h{h}" for h in range(24))
     docs = sql.values([(i, d["says"], d.get("rule")) for i, d in enumerate(RIDESHARE.documentation)], "position", "says", "rule")
-    measures = ", ".join(f"round({m}, 6) AS {m}" if m in sql.REALS else f"{m}::BIGINT AS {m}" for m in MEASURES)
+    measures = ", ".join(f"round({m}, 9) AS {m}" if m in sql.REALS else f"{m}::BIGINT AS {m}" for m in MEASURES)
     ratios = ("platform_share", "avg_fare", "avg_wait", "avg_miles", "avg_minutes", "tip_rate", "airport_share")
     tails = {
         "rpt_registry": "SELECT rule, title, dimension, severity, verdict, grain FROM y_registry",
@@ -182,7 +182,7 @@ def oracle() -> dict[str, str]:
             (SELECT count(*) FROM x_hourly) AS hourly, (SELECT count(*) FROM x_zone_rows) AS zones, {len(RIDESHARE.rules)}::INT AS rules""",
         "ops_kpis": sql.compared("z_month", sql.KPIS, [], 9),
         "ops_kpis_filtered": sql.compared("z_ewr", sql.KPIS, [], 9),
-        "ops_metrics": f"SELECT month, {measures}, {', '.join(f'round({r}, 6) AS {r}' for r in ratios)} FROM z_month",
+        "ops_metrics": f"SELECT month, {measures}, {', '.join(f'round({r}, 9) AS {r}' for r in ratios)} FROM z_month",
         "ops_trips_per_day": """SELECT day, company, trips, round(avg(trips) OVER (PARTITION BY company ORDER BY day
             ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS average FROM (SELECT day, company, sum(trips)::BIGINT AS trips FROM x_daily GROUP BY ALL)""",
         "ops_fares_and_pay": "SELECT month, 'Gross fares' AS measure, round(fares, 6) AS value FROM z_month "
