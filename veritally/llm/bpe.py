@@ -374,7 +374,7 @@ def decode(coded: DataFrame, ranks_file: bytes, ids: str = "ids", column: str =
                 values.append("".join(decoder.text(decoder.parts(numbers))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], names=[*batch.schema.names, column])
 
-    return kept.mapInArrow(run, kept.schema.add(column, "string"))
+    return kept.mapInArrow(run, text.wider(kept, f"{column} string"))
 
 
 def read_ranks(path: str) -> bytes:

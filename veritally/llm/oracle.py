@@ -22,3 +22,66 @@ SELECT page_id, host, path, hit.rule AS rule,
                                   THEN 'block' ELSE 'allow' END) AS verdict
 FROM best
 """
+
+#: Line dedup with runs of 25 words: every run that would lose them without its first or its last line, by its text.
+LINE_DEDUP = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
+split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM docs),
+real AS (
+  SELECT doc_id, text, value, line, row_number() OVER (PARTITION BY doc_id, text ORDER BY line) AS i,
+         len(regexp_extract_all(value, '[^\x20\x09-\x0D]+')) AS w
+  FROM split WHERE regexp_matches(value, '[^\x20\x09-\x0D]')
+), summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, text ORDER BY i) AS after FROM real),
+runs AS (
+  SELECT a.doc_id, a.text, a.i AS s, min(b.i) AS e FROM summed a JOIN summed b
+    ON a.doc_id = b.doc_id AND a.text = b.text AND b.i >= a.i AND b.after - a.after + a.w >= 25 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, b.text, max(a.i), b.i FROM summed a JOIN summed b
+    ON a.doc_id = b.doc_id AND a.text = b.text AND b.i >= a.i AND b.after - a.after + a.w >= 25 GROUP BY b.doc_id, b.text, b.i
+), named AS (
+  SELECT r.doc_id, r.text, r.s, r.e, string_agg(x.value, chr(10) ORDER BY x.i) AS name
+  FROM runs r JOIN real x ON x.doc_id = r.doc_id AND x.text = r.text AND x.i BETWEEN r.s AND r.e GROUP BY ALL
+), firsts AS (SELECT name, min((doc_id, s)) AS first FROM named GROUP BY name),
+gone AS (
+  SELECT DISTINCT x.doc_id, x.text, x.line FROM named n JOIN firsts f ON f.name = n.name AND (n.doc_id, n.s) > f.first
+  JOIN real x ON x.doc_id = n.doc_id AND x.text = n.text AND x.i BETWEEN n.s AND n.e
+), removed AS (SELECT doc_id, text, count(*) AS n FROM gone GROUP BY ALL),
+left_over AS (
+  SELECT s.doc_id, s.text, string_agg(s.value, chr(10) ORDER BY s.line) AS rest
+  FROM split s ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.text = s.text AND g.line = s.line GROUP BY ALL
+)
+SELECT d.doc_id, coalesce(r.n, 0) AS removed_lines, CASE WHEN r.n IS NULL THEN d.text ELSE coalesce(l.rest, '') END AS text
+FROM documents d LEFT JOIN removed r ON r.doc_id = d.doc_id AND r.text = d.text LEFT JOIN left_over l ON l.doc_id = d.doc_id AND l.text = d.text
+"""
+
+#: Decontamination by comparing every item with every document at every shift that has enough equal words.
+DECONTAMINATION = r"""
+WITH lowered AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tested AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+d AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lowered),
+t AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM tested WHERE len(ws) >= 9),
+counted AS (
+  SELECT doc_id, item_id, i - j AS shift, n, count(*) AS n_equal, list(j ORDER BY j) AS js FROM d JOIN t ON d.w = t.w
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * least(15, n)
+), windows AS (
+  SELECT *, unnest(generate_series(1, n - least(15, n) + 1)) AS s FROM counted
+), fits AS (
+  SELECT DISTINCT doc_id, item_id, n, n_equal, shift FROM windows
+  WHERE 100 * len(list_filter(js, lambda x: x >= s AND x < s + least(15, n))) >= 80 * least(15, n)
+)
+SELECT doc_id, item_id, max(n_equal) AS n_equal, any_value(n) AS n_item FROM fits GROUP BY doc_id, item_id
+"""
+
+#: Documents that share four fifths of their five-word shingles, and the smallest id that links lead to.
+NGRAM_JACCARD = r"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, ws[i:i + 4] AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM lowered WHERE len(ws) > 0)
+), sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sized z ON z.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""

@@ -47,7 +47,7 @@ class Training:
 
     sample: int = 3000
     chunks: int = 6
-    epochs: int = 12
+    steps: int = 1200
     batch: int = 32
     rate: float = 0.01
     seed: int = 7
@@ -157,21 +157,19 @@ def fit(texts: list[bytes], labels: list[int], shape: Shape = Shape(), training:
     owner, chunks = cut(offsets, np.frombuffer(b"".join(texts), np.uint8), shape)
     spans = np.searchsorted(owner, np.arange(len(texts) + 1))
     target = np.array(labels, np.float32)
-    # Classes weigh alike in their sums, so that a rare class is learned too.
-    mass, drift, turn = {k: np.zeros_like(v) for k, v in network.weights.items()}, {k: np.zeros_like(v) for k, v in network.weights.items()}, 0
-    steps = training.epochs * -(-len(texts) // training.batch)
-    for _ in range(training.epochs):
-        order = random.permutation(len(texts))
-        for start in range(0, len(order), training.batch):
-            rows = order[start : start + training.batch]
-            chosen = [np.unique(np.linspace(spans[i], spans[i + 1] - 1, training.chunks).round().astype(int)) for i in rows]
-            own = np.repeat(np.arange(len(rows)), [len(x) for x in chosen])
-            turn += 1
-            rate = training.rate * (1 - 0.9 * turn / steps)
-            for k, g in network.gradients(own, chunks[np.concatenate(chosen)], target[rows]).items():
-                drift[k] += 0.1 * (g - drift[k])
-                mass[k] += 0.01 * (g * g - mass[k])
-                network.weights[k] -= (rate * (drift[k] / (1 - 0.9**turn)) / (np.sqrt(mass[k] / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
+    drift, mass = ({k: np.zeros_like(v) for k, v in network.weights.items()} for _ in range(2))
+    order = np.zeros(0, int)
+    for turn in range(1, training.steps + 1):
+        if len(order) < training.batch:
+            order = np.concatenate([order, random.permutation(len(texts))])
+        rows, order = order[: training.batch], order[training.batch :]
+        chosen = [np.unique(np.linspace(spans[i], spans[i + 1] - 1, training.chunks).round().astype(int)) for i in rows]
+        own = np.repeat(np.arange(len(rows)), [len(x) for x in chosen])
+        rate = training.rate * (1 - 0.9 * turn / training.steps)
+        for k, g in network.gradients(own, chunks[np.concatenate(chosen)], target[rows]).items():
+            drift[k] += 0.1 * (g - drift[k])
+            mass[k] += 0.01 * (g * g - mass[k])
+            network.weights[k] -= (rate * (drift[k] / (1 - 0.9**turn)) / (np.sqrt(mass[k] / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
     return network
 
 

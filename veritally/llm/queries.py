@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, langid, quality, repeats, sharding, text, urlrules
+from veritally.llm import bpe, decontam, jaccard, langid, linededup, quality, repeats, sharding, text, urlrules
 from veritally.llm import oracle as sql
 
 SHARDS = 16
@@ -40,6 +40,19 @@ def feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.described(sharding.assign(rows, sharding.total(rows), SHARDS))
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return decontam.overlaps(docs, _table(spark, folder, "benchmark")).drop("d1", "d2")
+
+
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(_table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
@@ -53,11 +66,19 @@ def queries():
         "op1_quality_classifier": quality_classifier,
         "op2_bpe_codec": bpe_codec,
         "op4_language_id": language_id,
+        "op5_decontamination": decontamination,
         "op6_feistel_shards": feistel_shards,
+        "op7_line_dedup": line_dedup,
         "op8_url_filter": url_filter,
+        "op9_ngram_jaccard": jaccard_join,
         "op10_quality_rules": quality_rules,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {"op8_url_filter": sql.URL_FILTER}
+    return {
+        "op5_decontamination": sql.DECONTAMINATION,
+        "op7_line_dedup": sql.LINE_DEDUP,
+        "op8_url_filter": sql.URL_FILTER,
+        "op9_ngram_jaccard": sql.NGRAM_JACCARD,
+    }

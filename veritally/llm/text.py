@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a Python worker holds; a single longer text is one step.
 STEP_BYTES = 4 << 20
@@ -72,21 +73,23 @@ def held_out(column: str, parts: int, part: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+def wider(df: DataFrame, added: str) -> StructType:
+    """df's schema with more columns, given as DDL."""
+    return StructType(df.schema.fields + StructType.fromDDL(added).fields)
+
+
 def map_texts(df: DataFrame, column: str, added: str, step: Callable[[pa.Array], list[pa.Array]], most: int = STEP_BYTES) -> DataFrame:
     """df with columns that `step` computes from the texts; `added` is their DDL. `most` bytes at a time.
 
     Columns of df with a clashing name are replaced. No shuffle: a lost task is computed again
     from its input alone.
     """
-    from pyspark.sql.types import StructType
-
     fields = StructType.fromDDL(added)
     kept = df.drop(*fields.fieldNames())
-    schema = StructType(kept.schema.fields + fields.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, column, most):
             arrays = step(batch.column(column))
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *fields.fieldNames()])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, wider(kept, added))
