@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, decontam, jaccard, langid, linededup, quality, repeats, sharding, text, urlrules
+from veritally.llm import bpe, decontam, jaccard, langid, linededup, lm, quality, repeats, sharding, text, urlrules
 from veritally.llm import oracle as sql
 
 SHARDS = 16
@@ -29,6 +29,13 @@ def bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(docs, ranks, public_tokenizers.PATTERN).drop("text")
 
 
+def attention_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", text.held_out("doc_id", 7, 2).alias("held_out"), "text")
+    ranks = spark.sparkContext.broadcast(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    model, words = lm.learn(docs.filter(~F.col("held_out")), ranks)
+    return lm.score(docs, model, words, ranks).drop("text")
+
+
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").withColumn("held_out", text.held_out("doc_id", 5, 0))
     profiles = langid.Profiles.of(langid.learn(docs.filter(~F.col("held_out"))).collect())
@@ -65,6 +72,7 @@ def queries():
     return {
         "op1_quality_classifier": quality_classifier,
         "op2_bpe_codec": bpe_codec,
+        "op3_attention_lm": attention_lm,
         "op4_language_id": language_id,
         "op5_decontamination": decontamination,
         "op6_feistel_shards": feistel_shards,
