@@ -32,8 +32,8 @@ THRESHOLD = 0.3
 class Shape:
     """Sizes of the network. `overlap` bytes of a chunk stand in the next one as well."""
 
-    chunk: int = 512
-    overlap: int = 64
+    chunk: int = 160
+    overlap: int = 32
     width: int = 8
     stride: int = 4
     embed: int = 4
@@ -46,7 +46,7 @@ class Training:
     """Bounds and steps of the fit; `sample` documents and `chunks` chunks of each at most."""
 
     sample: int = 3000
-    chunks: int = 6
+    chunks: int = 12
     steps: int = 1200
     batch: int = 32
     rate: float = 0.01
@@ -197,8 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), training:
                 values.append(data)
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("_label"), pa.array(values, pa.binary())], names=["_id", "_label", "_data"])
 
-    sample = rows.mapInArrow(run, "_id bigint, _label int, _data binary").collect()
-    sample = sorted((row["_id"], row["_label"], bytes(row["_data"])) for row in sample)[: 2 * training.sample]
+    sample = rows.mapInArrow(run, "_id bigint, _label int, _data binary").limit(2 * training.sample).collect()
+    sample = sorted((row["_id"], row["_label"], bytes(row["_data"])) for row in sample)
     return fit([row[2] for row in sample], [row[1] for row in sample], shape, training)
 
 
