@@ -28,14 +28,15 @@ def _labels(spark, d) -> DataFrame:
 
 
 def _revenue(spark, d) -> DataFrame:
-    """Line revenue against order totals: the reconciliation on other numbers."""
+    """Line revenue against order totals, in cents; orders without lines count with none."""
     i = Inputs(spark, d)
-    lines = i.table("lineitem").groupBy("l_orderkey").agg(F.sum(F.round("l_extendedprice").cast("bigint")).alias("lines"))
+    cents = lambda column: F.round(F.col(column) * 100).cast("bigint")
+    lines = i.table("lineitem").groupBy("l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("lines"))
     heads = (
-        i.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(i.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("c_mktsegment").alias("company"))
-        .agg(F.sum("lines").alias("trips"), F.sum(F.round("o_totalprice").cast("bigint")).alias("total"))
+        i.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(i.table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        .groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.coalesce("c_mktsegment", F.lit("unknown")).alias("company"))
+        .agg(F.sum(F.coalesce("lines", F.lit(0))).alias("trips"), F.sum(F.coalesce(cents("o_totalprice"), F.lit(0))).alias("total"))
     )
     return rounded(files.compare_totals(heads.withColumnsRenamed({"trips": "ours", "total": "theirs"}), "ACC-02", 0.005)).drop("detail")
 

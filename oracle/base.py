@@ -21,7 +21,7 @@ def query(tail: str, *names: str) -> str:
             if name in words and name not in needed:
                 needed.add(name)
                 queue.append(CTES[name])
-    parts = ",\n".join(f"{name} AS (\n{CTES[name]}\n)" for name in CTES if name in needed)
+    parts = ",\n".join(f"{name} AS MATERIALIZED (\n{CTES[name]}\n)" for name in CTES if name in needed)
     return f"WITH {parts}\n{tail.strip()}" if parts else tail.strip()
 
 

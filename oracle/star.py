@@ -20,11 +20,12 @@ def _long(table: str, keys: str, rules: dict, rollups: dict, groups: dict) -> st
     for name, members in rollups.items():
         either = " OR ".join(f"coalesce({rules[m][0]}, false)" for m in members)
         parts.append(f"SELECT {keys}, '{name}', count(*) FILTER (WHERE {either}), count(*) FROM {table} GROUP BY ALL")
+    ordered = ", ".join(f"{k} NULLS FIRST" for k in keys.split(", "))
     for rule, key in groups.items():
         parts.append(
             f"SELECT {keys}, '{rule}', coalesce(failed, 0)::BIGINT, n FROM (SELECT {keys}, count(*) AS n FROM {table} GROUP BY ALL) "
-            f"LEFT JOIN (SELECT {keys}, sum(c - 1) AS failed FROM (SELECT {keys}, {key}, count(*) AS c FROM {table} GROUP BY ALL "
-            f"HAVING count(*) > 1) GROUP BY ALL) USING ({keys})")
+            f"LEFT JOIN (SELECT {keys}, count(*) AS failed FROM (SELECT {keys}, row_number() OVER (PARTITION BY {key} ORDER BY {ordered}) AS nth "
+            f"FROM {table}) WHERE nth > 1 GROUP BY ALL) USING ({keys})")
     return " UNION ALL ".join(parts)
 
 
@@ -76,14 +77,15 @@ def labels() -> str:
 
 
 def revenue() -> str:
-    """Line revenue of an order month and segment against the order totals."""
+    """Line revenue of an order month and segment against the order totals; orders without lines and lines without an order count."""
     return """
-SELECT 'ACC-02' AS rule, month, company, CASE WHEN abs(ours - theirs) > 0.005::DOUBLE * theirs THEN 'fail' ELSE 'pass' END AS status,
-  round((ours - theirs) / theirs, 6) AS value
-FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, c_mktsegment AS company, sum(lines)::BIGINT AS ours,
-        sum(round(o_totalprice)::BIGINT)::BIGINT AS theirs
-  FROM orders JOIN customer ON c_custkey = o_custkey
-  JOIN (SELECT l_orderkey, sum(round(l_extendedprice)::BIGINT) AS lines FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
+SELECT 'ACC-02' AS rule, month, company,
+  CASE WHEN abs(ours - theirs) > 0.005::DOUBLE * theirs THEN 'fail' ELSE 'pass' END AS status,
+  round((ours - theirs) / nullif(theirs, 0), 6) AS value
+FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, coalesce(c_mktsegment, 'unknown') AS company, sum(coalesce(lines, 0))::BIGINT AS ours,
+        sum(coalesce(round(o_totalprice * 100)::BIGINT, 0))::BIGINT AS theirs
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+  LEFT JOIN (SELECT l_orderkey, sum(round(l_extendedprice * 100)::BIGINT) AS lines FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
   GROUP BY ALL)"""
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,40 +48,30 @@ def check_frame(df: DataFrame, pack: RulePack) -> DataFrame:
     return record_flags(df, pack).groupBy(*pack.keys).agg(*measures)
 
 
-def long_results(frame: DataFrame, pack: RulePack, rollups: bool = True) -> DataFrame:
-    """The frame's record rules and roll-ups as rows: keys, rule, failed, checked."""
+def long_results(frame: DataFrame, pack: RulePack, rollups: bool = True, groups: bool = False) -> DataFrame:
+    """The frame's rules and roll-ups as rows: keys, rule, failed, checked."""
     names = _denominators(pack)
     rows = [(r.id, F.col(f"`{r.id}`"), F.col(names[r.applies] if r.applies else RECORDS)) for r in pack.record_rules]
-    if rollups:
+    if rollups and pack.record_rules:
         rows += [(rollup, F.col(f"`{rollup}`"), F.col(RECORDS)) for rollup in pack.rollups]
+    if groups:
+        rows += [(r.id, F.coalesce(F.col(f"`{r.id}`"), F.lit(0)), F.col(RECORDS)) for r in pack.group_rules]
     packed = F.array(*[F.struct(F.lit(i).alias("rule"), f.alias("failed"), c.alias("checked")) for i, f, c in rows])
     return frame.select(*pack.keys, F.inline(packed))
 
 
-def group_results(df: DataFrame, frame: DataFrame, pack: RulePack) -> DataFrame:
-    """The group rules' rows, one per rule and key combination of the frame, zeros included."""
-    counts = group_failures(df, pack)
-    ids = [r.id for r in pack.group_rules]
-    joined = frame.select(*pack.keys, RECORDS).join(counts, list(pack.keys), "left")
-    packed = F.array(*[
-        F.struct(F.lit(i).alias("rule"), F.coalesce(F.col(f"`{i}`"), F.lit(0)).alias("failed"),
-                 F.col(RECORDS).alias("checked"))
-        for i in ids
-    ])
-    return joined.select(*pack.keys, F.inline(packed))
-
-
 def check(df: DataFrame, pack: RulePack) -> DataFrame:
-    """Every rule and roll-up of the pack: keys, rule, failed, checked."""
+    """Every rule and roll-up of the pack: keys, rule, failed, checked.
+
+    The frame is built once; failures of the group rules, with zeros, are joined to it by its few key combinations.
+    """
     frame = check_frame(df, pack)
-    parts = []
-    if pack.record_rules:
-        parts.append(long_results(frame, pack))
     if pack.group_rules:
-        # Only the keys and the record count of this second frame are used; the optimiser
-        # drops its rule columns, and the scan of theirs.
-        parts.append(group_results(df, check_frame(df, pack), pack))
-    return reduce(DataFrame.unionByName, parts)
+        counts = group_failures(df, pack)
+        same = reduce(and_, [F.col(f"frame.{k}").eqNullSafe(F.col(f"counts.{k}")) for k in pack.keys])
+        joined = frame.alias("frame").join(counts.alias("counts"), same, "left")
+        frame = joined.select("frame.*", *[F.col(f"counts.`{r.id}`") for r in pack.group_rules])
+    return long_results(frame, pack, groups=bool(pack.group_rules))
 
 
 def rule_result(df: DataFrame, pack: RulePack, rule_id: str) -> DataFrame:

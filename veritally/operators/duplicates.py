@@ -4,58 +4,51 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.rules import RulePack
-from veritally.session import shared_dir
-
-# Candidate hashes up to this many are broadcast: eight bytes each, 40 MB built.
-CANDIDATES = 2_000_000
-
-
-def _candidates(df: DataFrame, columns: list[str], max_rows: int) -> DataFrame | None:
-    """Hashes shared by two or more records, or None where there are more than max_rows.
-
-    One eight-byte value per record crosses the shuffle instead of the key. Collisions only
-    add candidates; the exact comparison that follows drops them. The hashes are
-    checkpointed because both the size test and the comparison read them.
-    """
-    shared_dir(df.sparkSession)
-    hashes = (
-        df.select(F.xxhash64(*columns).alias("h")).groupBy("h").count().where("count > 1").select("h")
-        .limit(max_rows + 1).checkpoint()
-    )
-    return hashes if hashes.count() <= max_rows else None
 
 
 def repeated_records(
-    df: DataFrame, by: tuple[str, ...], key: tuple[str, ...], exact: tuple[str, ...] = (), max_candidates: int = CANDIDATES
+    df: DataFrame, by: tuple[str, ...], key: tuple[str, ...], exact: tuple[str, ...] = (), scope: tuple[str, ...] = ()
 ) -> DataFrame:
     """Surplus copies per ``by``: ``same_key`` by the key, ``same_record`` by all columns.
 
-    Null key values match each other for ``same_key``; a record with one never counts for
-    ``same_record``. Every grouping combines on the map side first, so a key holding much of
-    the table still reaches its reducer as a few partial counts. Where candidates are few
-    they narrow the table by broadcast; where they are many, the table is grouped whole.
+    Records are compared within ``scope``. Of those that agree, the first in the order of ``by`` is
+    the record, the others are copies and count where they are. Null key values match each
+    other for ``same_key``; a record with one never counts for ``same_record``.
+
+    One eight-byte hash per record crosses the shuffle first; only records whose hash occurs twice
+    are grouped by their values. Groupings combine on the map side, so a key holding much of
+    the table still reaches its reducer as a few partial counts.
     """
-    group = list(dict.fromkeys((*by, *key)))
-    whole = list(dict.fromkeys((*group, *exact)))
+    group = list(dict.fromkeys((*scope, *key)))
+    apart = [c for c in by if c not in group]
+    whole = list(dict.fromkeys((*group, *apart, *exact)))
     rows = df.select(*whole)
-    hashes = _candidates(rows, group, max_candidates)
-    if hashes is not None:
-        rows = rows.join(F.broadcast(hashes), F.xxhash64(*group) == F.col("h"), "left_semi")
+    hashes = rows.select(F.xxhash64(*group).alias("h")).groupBy("h").count().where("count > 1").select("h")
+    rows = rows.join(hashes, F.xxhash64(*group) == F.col("h"), "left_semi")
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-    return (
-        rows.groupBy(*whole).agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy(*group).agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") - 1).alias("surplus"))
-        .where("copies > 1")
-        .groupBy(*by)
-        .agg(
-            F.sum(F.col("copies") - 1).alias("same_key"),
-            F.sum(F.when(complete, F.col("surplus")).otherwise(0)).alias("same_record"),
-        )
-    )
+
+    def surplus(columns: list[str]) -> DataFrame:
+        """Copies per ``columns`` and ``by``, without the first record of each ``columns``."""
+        counts = rows.groupBy(*list(dict.fromkeys((*columns, *apart)))).agg(F.count(F.lit(1)).alias("copies"))
+        if not apart:
+            return counts.withColumn("copies", F.col("copies") - 1)
+        first = F.row_number().over(Window.partitionBy(*columns).orderBy(*apart)) == 1
+        return counts.withColumn("copies", F.col("copies") - F.when(first, 1).otherwise(0))
+
+    keyed = surplus(group).select(*by, F.col("copies").alias("same_key"), F.lit(0).alias("same_record"))
+    if not exact:
+        return _summed(keyed, by)
+    records = surplus([c for c in whole if c not in apart or c in exact]).where(complete)
+    return _summed(keyed.unionByName(records.select(*by, F.lit(0).alias("same_key"), F.col("copies").alias("same_record"))), by)
+
+
+def _summed(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    sums = rows.groupBy(*by).agg(F.sum("same_key").alias("same_key"), F.sum("same_record").alias("same_record"))
+    return sums.where("same_key > 0 OR same_record > 0")
 
 
 def group_failures(df: DataFrame, pack: RulePack) -> DataFrame:
@@ -68,9 +61,11 @@ def group_failures(df: DataFrame, pack: RulePack) -> DataFrame:
     frames = []
     for key, rules in shared.items():
         exact = tuple(dict.fromkeys(c for r in rules for c in r.same.exact))
+        if len({r.same.scope for r in rules}) > 1:
+            raise ValueError(f"rules on one key compare within different scopes: {[r.id for r in rules]}")
         if len({r.same.exact for r in rules if r.same.exact}) > 1:
             raise ValueError(f"rules on one key compare different columns: {[r.id for r in rules]}")
-        counts = repeated_records(df, by, key, exact)
+        counts = repeated_records(df, by, key, exact, rules[0].same.scope)
         frames.append(counts.select(
             *by, *[F.col("same_record" if r.same.exact else "same_key").alias(r.id) for r in rules]
         ))

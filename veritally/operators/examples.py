@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritally.operators.references import small_side
 from veritally.rules import RulePack
 from veritally.session import shared_dir
 
@@ -42,7 +41,7 @@ def example_records(df: DataFrame, pack: RulePack, n: int = 3, by: tuple[str, ..
     flagged = _flagged(df, pack)
     shared_dir(df.sparkSession)
     bounds = sample_bounds(flagged, pack, by, n).checkpoint()
-    joined = flagged.join(small_side(bounds), list(by))
+    joined = flagged.join(bounds, list(by))
     hits = []
     for i, rule in enumerate(pack.record_rules):
         # A bound that is null cuts nothing.

@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup of this many narrow rows is a few megabytes on each executor.
-BROADCAST_ROWS = 200_000
-
-
-def small_side(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table shown to be small; leave any other to a shuffle join.
-
-    The check reads at most ``max_rows + 1`` rows.
-    """
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
-
-
 def mark_known(df: DataFrame, flags: dict[str, str], reference: DataFrame, key: str) -> DataFrame:
     """For each column → flag: true where the column is a key of the reference, null where null."""
-    keys = small_side(reference.select(F.col(key).alias("known_key")).where("known_key IS NOT NULL").distinct())
+    # How to join is left to adaptive execution, which knows the reference's size and splits a frequent key.
+    keys = reference.select(F.col(key).alias("known_key")).where("known_key IS NOT NULL").distinct()
     for column, flag in flags.items():
         found = df.join(keys, F.col(column) == F.col("known_key"), "left")
         df = found.withColumn(flag, F.when(F.col(column).isNotNull(), F.col("known_key").isNotNull())).drop("known_key")

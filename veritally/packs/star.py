@@ -59,8 +59,7 @@ LINES = RulePack(
              fails="NOT part_known", shows=("l_orderkey", "l_linenumber", "l_partkey")),
         Rule("LIN-11", "Busy order line", "uniqueness", "warning", "business rule",
              "An order has more than one line of the same part.",
-             group_sql="SELECT ship_month, l_returnflag, sum(n - 1) AS failed FROM (SELECT ship_month, l_returnflag, "
-                       "l_orderkey, l_partkey, count(*) AS n FROM {records} GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL"),
+             same=SameRecord(("l_orderkey", "l_partkey"))),
     ),
 )
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from veritally.functions import clock
 from veritally.functions.measures import MEASURES
 from veritally.operators import checks, examples, summaries
-from veritally.operators.references import small_side
 from veritally.packs import rideshare
 from veritally.session import shared_dir
 from veritally.sources.store import ResultStore
@@ -22,7 +21,10 @@ HOURLY = ["trips", "fares", "wait_seconds", "wait_trips"]
 
 
 def summary_trips(trips: DataFrame, zones: DataFrame) -> DataFrame:
-    """One row per trip that began in its file's month, with what the summaries add up."""
+    """One row per trip that began in its file's month, with what the summaries add up.
+
+    Zones are a declared dimension of some hundred rows, so they are broadcast.
+    """
     pickup, request = F.col("pickup_datetime"), F.col("request_datetime")
     wait = F.when(
         (pickup >= request) & (pickup < request + F.expr("INTERVAL 2 HOUR")), clock.seconds_between(request, pickup)
@@ -43,7 +45,7 @@ def summary_trips(trips: DataFrame, zones: DataFrame) -> DataFrame:
             (F.col("airport_fee") > 0).alias("airport"), (F.col("shared_match_flag") == "Y").alias("shared"),
             (F.col("wav_request_flag") == "Y").alias("wav"),
         )
-        .join(small_side(lookup), "zone_id", "left")
+        .join(F.broadcast(lookup), "zone_id", "left")
         .withColumn("borough", F.coalesce("borough", F.lit("Unknown")))
     )
 
@@ -97,7 +99,7 @@ def hourly(summary: DataFrame) -> DataFrame:
 
 def zone_totals(summary: DataFrame, zones: DataFrame) -> DataFrame:
     """By pickup zone, with the zone's name; trips without a zone are left out."""
-    named = small_side(zones.select(F.col("LocationID").alias("zone_id"), F.col("Zone").alias("zone")))
+    named = F.broadcast(zones.select(F.col("LocationID").alias("zone_id"), F.col("Zone").alias("zone")))
     rows = summaries.pick(summary, "zones", ["month", "company", "zone_id", "borough"], list(MEASURES))
     joined = rows.where(F.col("zone_id").isNotNull()).join(named, "zone_id", "left")
     return _typed(joined.select("month", "company", "zone_id", "zone", "borough", *MEASURES))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from veritally.functions.measures import change, tone
 from veritally.operators.files import BOTH
-from veritally.operators.references import small_side
 
 # From best to worst. A dimension shows the worst of its rules; pending yields to clean.
 ORDER = ("pending", "clean", "warning", "error")
@@ -49,8 +48,11 @@ def filters(months: DataFrame, companies: list[str]) -> DataFrame:
 
 
 def stats_grid(stats: DataFrame, ids: DataFrame, months: DataFrame, companies: list[str]) -> DataFrame:
-    """A row for each of ``ids`` (rule), month and company filter; zero where nothing was counted."""
-    wanted = filters(months, companies).crossJoin(small_side(ids.select("rule").distinct()))
+    """A row for each of ``ids`` (rule), month and company filter; zero where nothing was counted.
+
+    The grid is months by filters by the rules of a pack, all declared and few; rules are broadcast.
+    """
+    wanted = filters(months, companies).crossJoin(F.broadcast(ids.select("rule").distinct()))
     joined = wanted.join(stats, ["rule", "month", "company"], "left")
     return joined.select(
         "rule", "month", "company", F.coalesce("failed", F.lit(0)).alias("failed"),
@@ -80,7 +82,7 @@ def rule_status(
         F.count_if(F.col("status") == "pending").alias("pending"),
     )
     month = (
-        filters(months, companies).crossJoin(rules.where("grain = 'month'"))
+        filters(months, companies).crossJoin(F.broadcast(rules.where("grain = 'month'")))
         .join(judged, ["rule", "month", "company"], "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("failed", "checked", "pending")})
         .withColumn("status", F.when(F.col("failed") > 0, F.col("severity")).when(

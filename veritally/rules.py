@@ -23,11 +23,12 @@ class SameRecord:
     """Records agreeing on ``key``; with ``exact``, on those further columns too.
 
     Missing key values match each other when only the key is compared, and never match
-    when whole records are.
+    when whole records are. Records are compared within ``scope``, the whole table by default.
     """
 
     key: tuple[str, ...]
     exact: tuple[str, ...] = ()
+    scope: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     # Trip timestamps are wall-clock values without an offset; UTC keeps them as written.
@@ -44,25 +44,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a table that arrives in fewer pieces than there are cores.
-
-    A file of one row group is read by one task. A large table has more pieces than cores
-    and passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's checkpoint folder.
+    """The folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (a test on one machine) is a new one made.
+    A session on one machine that names none gets a new folder; a cluster that names none is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veritally-"))
         current = context.getCheckpointDir()
     return named or current

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions import clock
-from veritally.session import spread
 
 
 @dataclass(frozen=True)
@@ -82,19 +81,21 @@ def trip_columns(d: Dialect) -> dict[str, str]:
 
 # Copies: every 997th trip again as it is, every 991st with another tip.
 COPIES = {"k % 997 = 0": "tips", "k % 991 = 0": "tips + 1"}
-# Zones: the first orders stand in for the lookup. Their keys are unique, so 265 rows at most.
 BOROUGHS = ("Bronx", "Brooklyn", "EWR", "Manhattan", "Queens", "Staten Island")
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trip fixture; each copy is exploded from its row, so lineitem is read once."""
+    """The trip fixture; each copy is exploded from its row, so lineitem is read once.
+
+    Test tables are files of one row group, which one task reads, so rows are dealt out first.
+    """
     columns = trip_columns(SPARK)
     base = base_columns(SPARK)
     again = [F.when(F.expr(test), F.lit(i)) for i, test in enumerate(COPIES, 1)]
     copy = F.explode(F.array_compact(F.array(F.lit(0), *again)))
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     shaped = (
-        spread(lineitem, "l_orderkey", "l_partkey")
+        lineitem.repartition(spark.sparkContext.defaultParallelism, "l_orderkey", "l_partkey")
         .withColumns({name: F.expr(text) for name, text in base.items()})
         .select("k", *[F.expr(text).alias(name) for name, text in columns.items()])
         .withColumn("copy", copy)
@@ -106,16 +107,13 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    borough = F.element_at(F.array(*[F.lit(b) for b in BOROUGHS]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    """Each order belongs to one of 265 zones; a zone's texts are the smallest of its orders."""
+    zone = (F.col("o_orderkey") % 265 + 1).cast("int").alias("LocationID")
+    borough = F.element_at(F.array(*[F.lit(b) for b in BOROUGHS]), F.col("LocationID") % 6 + 1)
     return (
         spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .where(F.col("o_orderkey").between(1, 265))
-        .select(
-            F.col("o_orderkey").cast("int").alias("LocationID"),
-            borough.alias("Borough"),
-            F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("Zone"),
-            F.col("o_orderstatus").alias("service_zone"),
-        )
+        .groupBy(zone).agg(F.min("o_orderpriority").alias("priority"), F.min("o_orderstatus").alias("service_zone"))
+        .select("LocationID", borough.alias("Borough"), F.concat_ws(" ", "priority", "LocationID").alias("Zone"), "service_zone")
     )
 
 
