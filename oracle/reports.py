@@ -195,7 +195,9 @@ SELECT g.month, g.company, g.checked, g.share AS defect_share, f.found, l.lag_da
 FROM y_grid g JOIN y_found f USING (month, company) JOIN y_lag l ON l.month = g.month WHERE g.rule = '@all/defect'""")
 
 # Operations.
-SUMMED = ", ".join(f"coalesce(sum({m}), 0) AS {m}" for m in MEASURES)
+SUMMED = ", ".join(
+    f"coalesce(sum({m}), 0) AS {m}" if m.endswith("trips") else f"coalesce(sum({m}::DECIMAL(20, 2))::DOUBLE, 0) AS {m}" for m in MEASURES
+)
 RATIOS = """CASE WHEN fares <> 0 THEN 1 - driver_pay / fares END AS platform_share, CASE WHEN trips > 0 THEN fares / trips END AS avg_fare,
   CASE WHEN wait_trips > 0 THEN wait_seconds / wait_trips END AS avg_wait, CASE WHEN trips > 0 THEN miles / trips END AS avg_miles,
   CASE WHEN trips > 0 THEN trip_seconds / trips / 60 END AS avg_minutes, CASE WHEN fares <> 0 THEN tips / fares END AS tip_rate,

@@ -1,4 +1,7 @@
 import datetime as dt
+import shutil
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from veritally.operators.examples import example_records
 from veritally.packs import rideshare
 from veritally.plans import months
 from veritally.sources import readers, trip_fixture
-from veritally.sources.store import ResultStore, prefer
+from veritally.sources.store import TABLES, ResultStore, prefer
 from tests.conftest import FOLDER
 
 # Trips of twelve published months, and how far they are off the published totals.
@@ -113,18 +116,46 @@ def _table(spark, *rows):
     return spark.createDataFrame(rows, "month string, n int")
 
 
+def _write(spark, store, run, tables, *rows):
+    for table in tables:
+        store.write(table, _table(spark, *rows), run)
+
+
 def test_store_shows_finished_runs_only(spark, tmp_path):
+    """Incremental runs add months; what a run did not write whole stays as it was or out of sight."""
     store = ResultStore(spark, str(tmp_path / "store"))
-    first, second = store.new_run(), store.new_run()
-    store.write("daily", _table(spark, ("2026-01", 1), ("2026-02", 2)), first)
-    store.finish(_table(spark, ("2026-01", 1), ("2026-02", 2)), first)
-    store.write("daily", _table(spark, ("2026-02", 3)), second)
+    first, second, third = store.new_run(), store.new_run(), store.new_run()
+    _write(spark, store, first, TABLES, ("2026-01", 1), ("2026-02", 2))
+    store.finish(first)
+    _write(spark, store, second, TABLES[:2], ("2026-02", 3))
     assert sorted(map(tuple, store.read("daily").select("month", "n").collect())) == [("2026-01", 1), ("2026-02", 2)]
-    store.finish(_table(spark, ("2026-02", 0)), second)
-    assert sorted(map(tuple, store.read("daily").select("month", "n").collect())) == [("2026-01", 1), ("2026-02", 3)]
+    _write(spark, store, second, TABLES[2:], ("2026-02", 3))
+    assert [r.month for r in store.finish(second).collect()] == ["2026-02"]
+    expected = [("2026-01", 1), ("2026-02", 3)]
+    assert sorted(map(tuple, store.read("daily").select("month", "n").collect())) == expected
+    # A month half written is not finished, also where another month of the run is.
+    _write(spark, store, third, TABLES, ("2026-03", 4))
+    _write(spark, store, third, TABLES[:1], ("2026-02", 9))
+    assert [r.month for r in store.finish(third).collect()] == ["2026-03"]
+    assert sorted(map(tuple, store.read("daily").select("month", "n").collect())) == [*expected, ("2026-03", 4)]
     assert store.retire(["2026-01"], confirmed=False) == []
     assert store.retire(["2026-01"], confirmed=True) == ["2026-01"]
-    assert [r.n for r in store.read("daily").collect()] == [3]
+    assert sorted(r.n for r in store.read("daily").collect()) == [3, 4]
+    # A retired month can come back.
+    again = store.new_run()
+    _write(spark, store, again, TABLES, ("2026-01", 5))
+    store.finish(again)
+    assert sorted(r.n for r in store.read("daily").collect()) == [3, 4, 5]
+
+
+def test_a_lost_file_is_an_error(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    run = store.new_run()
+    _write(spark, store, run, TABLES, ("2026-01", 1), ("2026-02", 2))
+    store.finish(run)
+    shutil.rmtree(tmp_path / "store" / "daily" / "month=2026-01")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.read("daily").collect()
 
 
 def test_months(spark):

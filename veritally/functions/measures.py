@@ -9,11 +9,18 @@ MEASURES = (
     "trips", "fares", "driver_pay", "tips", "rider_total", "miles", "trip_seconds", "wait_seconds", "wait_trips",
     "airport_trips", "shared_trips", "wav_trips",
 )
+COUNTS = ("trips", "wait_trips", "airport_trips", "shared_trips", "wav_trips")
 
 
 def totals(*names: str) -> list[Column]:
-    """Sums of the named measures (all by default), zero where there is nothing to add."""
-    return [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (names or MEASURES)]
+    """Sums of the named measures (all by default), zero where there is nothing to add.
+
+    Summed as decimals: every measure is whole in hundredths, so no order of addition matters.
+    """
+    return [
+        F.coalesce(F.sum(n) if n in COUNTS else F.sum(F.col(n).cast("decimal(20,2)")).cast("double"), F.lit(0)).alias(n)
+        for n in (names or MEASURES)
+    ]
 
 
 def ratio(over: str | Column, under: str | Column) -> Column:

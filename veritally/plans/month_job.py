@@ -50,14 +50,22 @@ def summary_trips(trips: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
+# Money and miles are summed in whole hundredths, so that a sum does not depend on its order.
+HUNDREDTHS = ("fares", "driver_pay", "tips", "rider_total", "miles")
+
+
+def hundredths(column: str) -> Column:
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
 def measures() -> dict[str, Column]:
     return {
         "trips": F.count(F.lit(1)),
-        "fares": F.sum("fare"),
-        "driver_pay": F.sum("driver_pay"),
-        "tips": F.sum("tips"),
-        "rider_total": F.sum("rider_total"),
-        "miles": F.sum("miles"),
+        "fares": F.sum(hundredths("fare")),
+        "driver_pay": F.sum(hundredths("driver_pay")),
+        "tips": F.sum(hundredths("tips")),
+        "rider_total": F.sum(hundredths("rider_total")),
+        "miles": F.sum(hundredths("miles")),
         "trip_seconds": F.sum("trip_seconds"),
         "wait_seconds": F.sum("wait_seconds"),
         "wait_trips": F.count("wait_seconds"),
@@ -67,15 +75,19 @@ def measures() -> dict[str, Column]:
     }
 
 
+def _in_units(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({name: F.col(name) / 100 for name in HUNDREDTHS})
+
+
 def summary(trips: DataFrame, zones: DataFrame) -> DataFrame:
     """All three grains, told apart by ``grain``."""
-    return summaries.grains(summary_trips(trips, zones), GRAINS, measures())
+    return _in_units(summaries.grains(summary_trips(trips, zones), GRAINS, measures()))
 
 
 def one_grain(trips: DataFrame, zones: DataFrame, name: str) -> DataFrame:
     """A single grain, aggregated directly: one shuffle of its own groups."""
     rows = summaries.aggregate(summary_trips(trips, zones), GRAINS[name], measures())
-    return rows.withColumn("grain", F.lit(name))
+    return _in_units(rows).withColumn("grain", F.lit(name))
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -173,5 +185,5 @@ def run_months(
     store.write("zones", zone_totals(grains, zones), run, ("company", "trips"))
     store.write("facts", file_facts(trips, published, schemas), run)
     store.write("examples", example_table(trips, zones), run, ("rule", "rank"))
-    store.finish(published, run)
+    store.finish(run)
     return run

@@ -1,8 +1,9 @@
 """Results by month, written whole or not at all.
 
 Every table lies under ``base/<table>/month=YYYY-MM/run=<id>/``. A run writes all its tables
-and then one row per month to ``base/finished``; readers see the latest finished run of a
-month and nothing else, so a run lost half-way, or still going, is invisible.
+and then one row to ``base/finished`` for each month of which it wrote all that every month has;
+readers see the latest finished run of a month and nothing else, so a run lost half-way, or still
+going, is invisible. A month that goes gets a row without a run, and then its files are deleted.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARKER = "month string, run string"
+# Runs are named by the time they began, tombstones carry the time the month went.
+TOMBSTONE = "month string, run string, at string"
 TABLES = ("quality", "daily", "hourly", "zones", "facts", "examples")
+# A month may have no example, and no trip with a zone; the other tables have rows for every month.
+SPARSE = ("zones", "examples")
 
 
 class ResultStore:
@@ -35,11 +40,21 @@ class ResultStore:
         (out.write.mode("append").partitionBy("month", "run").option("compression", "zstd")
          .parquet(f"{self.base}/{table}"))
 
-    def finish(self, months: DataFrame, run: str) -> None:
-        """Make the run's months visible; the last thing a run writes."""
-        (months.select("month").distinct().withColumn("run", F.lit(run)).coalesce(1)
-         .write.mode("append").parquet(f"{self.base}/finished"))
+    def finish(self, run: str, tables: tuple[str, ...] = TABLES) -> DataFrame:
+        """Make visible the months of which this run wrote every table; the last thing a run writes."""
+        written = [self._written(table, run) for table in tables if table not in SPARSE]
+        months = complete_months(written).withColumn("run", F.lit(run))
+        months.repartition(1).write.mode("append").parquet(f"{self.base}/finished")
         self._current = None
+        return months.select("month")
+
+    def _written(self, table: str, run: str) -> DataFrame:
+        """The months of a table that a run wrote, from its files' folders; none where it wrote nothing."""
+        if not self._exists(f"{self.base}/{table}"):
+            return self.spark.createDataFrame([], "month string")
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.base}/{table}")
+        found = files.select(F.regexp_extract("path", r"/month=([^/]+)/run=([^/]+)/", 1).alias("month"), F.regexp_extract("path", r"/run=([^/]+)/", 1).alias("run"))
+        return found.filter(F.col("run") == run).select("month").distinct()
 
     def _exists(self, path: str) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,8 +65,9 @@ class ResultStore:
         if self._current is None:
             self._current = {}
             if self._exists(f"{self.base}/finished"):
-                rows = self.spark.read.schema(MARKER).parquet(f"{self.base}/finished")
-                self._current = dict(map(tuple, rows.groupBy("month").agg(F.max("run")).collect()))
+                rows = self.spark.read.schema(TOMBSTONE).parquet(f"{self.base}/finished")
+                latest = rows.groupBy("month").agg(F.max_by("run", F.coalesce("at", "run")).alias("run"))
+                self._current = {row["month"]: row["run"] for row in latest.where("run <> ''").collect()}
         return self._current
 
     def months(self) -> DataFrame:
@@ -64,7 +80,8 @@ class ResultStore:
         paths = [f"{self.base}/{table}/month={m}/run={r}" for m, r in sorted(wanted.items())]
         key = (table, tuple(paths))
         if key not in self._tables:
-            paths = [p for p in paths if self._exists(p)]
+            if table in SPARSE:
+                paths = [p for p in paths if self._exists(p)]
             if not paths:
                 raise FileNotFoundError(f"no finished month of {table} in {self.base}")
             rows = self.spark.read.option("basePath", f"{self.base}/{table}").parquet(*paths)
@@ -76,8 +93,8 @@ class ResultStore:
     def publish(self, name: str, df: DataFrame) -> None:
         """Replace a small table that spans months. Readers take the latest one written whole."""
         path = f"{self.base}/across/{name}/{self.new_run()}"
-        df.coalesce(1).write.option("compression", "zstd").parquet(path)
-        self.spark.createDataFrame([(name, path)], MARKER).coalesce(1).write.mode("append").parquet(
+        df.repartition(1).write.option("compression", "zstd").parquet(path)
+        self.spark.createDataFrame([(name, path)], MARKER).repartition(1).write.mode("append").parquet(
             f"{self.base}/published"
         )
 
@@ -89,12 +106,11 @@ class ResultStore:
         """Delete months outside a window; nothing unless the window is confirmed."""
         if not confirmed or not stale:
             return []
-        kept = [(m, r) for m, r in self.finished().items() if m not in stale]
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         conf = self.spark._jsc.hadoopConfiguration()
-        # The marker goes first: a month half deleted is then not visible.
-        (self.spark.createDataFrame(kept, MARKER).coalesce(1)
-         .write.mode("overwrite").parquet(f"{self.base}/finished"))
+        # Rows without a run come first: a month half deleted is then not visible.
+        gone = self.spark.createDataFrame([(m, "", self.new_run()) for m in stale], TOMBSTONE)
+        gone.repartition(1).write.mode("append").parquet(f"{self.base}/finished")
         for table in TABLES:
             for month in stale:
                 path = fs_path(f"{self.base}/{table}/month={month}")
