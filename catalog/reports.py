@@ -12,7 +12,7 @@ from veritally.functions.measures import MEASURES
 from veritally.packs import rideshare
 from veritally.packs.rideshare import RIDESHARE
 from veritally.plans import cross_month, operations, status
-from veritally.rules import documentation_frame, registry_frame
+from veritally.rules import registry_frame
 
 COMPANIES = cross_month.COMPANIES
 MONTH = "1997-05"
@@ -75,7 +75,6 @@ def _meta(d: Landed) -> DataFrame:
 
 
 REPORTS = {
-    "rpt_registry": lambda d: d.registry.select("rule", "title", "dimension", "severity", "verdict", "grain"),
     "rpt_rule_stats": lambda d: d.stats,
     "rpt_rule_status": _status,
     "rpt_rules_shown": _shown,
@@ -94,10 +93,7 @@ REPORTS = {
         "published", F.col("published").cast("string")),
     "rpt_volume_rows": lambda d: status.volume_rows(d.series),
     "rpt_examples_for_company": lambda d: status.examples_for(d.examples, "Lyft").select("month", "rule", "rank", "company"),
-    "rpt_documentation": lambda d: status.findings(documentation_frame(d.spark, RIDESHARE), d.registry).select(
-        "position", "says", "rule", "severity", "verdict"),
-    "rpt_total_checked": lambda d: status.total_checked(d.stats, d.months),
-    "rpt_selected_months": lambda d: status.selected_months(d.months, MONTH).select(
+    "rpt_selected_months": lambda d: status.selected_months(d.store.read("facts").select("month").distinct(), MONTH).select(
         "month", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "selected"),
     "rpt_metadata": _meta,
     "ops_kpis": lambda d: operations.kpis(d.daily),
@@ -136,11 +132,9 @@ def oracle() -> dict[str, str]:
     zones = sql.zone_sql(MONTH)
     demand = f"SELECT dow, hour, sum(trips)::BIGINT AS trips FROM x_hourly WHERE month = '{MONTH}'"
     hours = ", ".join(f"(sum(trips) FILTER (WHERE hour = {h}))::BIGINT AS h{h}" for h in range(24))
-    docs = sql.values([(i, d["says"], d.get("rule")) for i, d in enumerate(RIDESHARE.documentation)], "position", "says", "rule")
     measures = ", ".join(f"round({m}, 6) AS {m}" if m in sql.REALS else f"{m}::BIGINT AS {m}" for m in MEASURES)
     ratios = ("platform_share", "avg_fare", "avg_wait", "avg_miles", "avg_minutes", "tip_rate", "airport_share")
     tails = {
-        "rpt_registry": "SELECT rule, title, dimension, severity, verdict, grain FROM y_registry",
         "rpt_rule_stats": "SELECT rule, month, company, failed, checked, round(share, 6) AS share FROM y_stats",
         "rpt_rule_status": "SELECT month, company, rule, grain, status, failed, checked, round(share, 6) AS share FROM y_status",
         "rpt_rules_shown": "SELECT month, company, rule, status FROM y_status WHERE verdict = 'business rule' AND status IN ('error', 'warning')",
@@ -173,7 +167,6 @@ def oracle() -> dict[str, str]:
                            "ELSE 'Within 25 percent' END AS status FROM y_volume WHERE deviation IS NOT NULL",
         "rpt_examples_for_company": """SELECT month, rule, "rank", company FROM x_examples WHERE month IN (SELECT month FROM y_published)
             QUALIFY company = 'Lyft' OR NOT bool_or(company = 'Lyft') OVER (PARTITION BY month, rule)""",
-        "rpt_documentation": f"SELECT d.position, d.says, d.rule, r.severity, r.verdict FROM ({docs}) d LEFT JOIN y_registry r USING (rule)",
         "rpt_total_checked": "SELECT sum(checked)::BIGINT AS trips FROM y_stats WHERE rule = '@all/defect' AND company = 'Both'",
         "rpt_selected_months": f"SELECT month, month || '-01' AS start, (((month || '-01')::DATE + INTERVAL 1 MONTH)::DATE)::VARCHAR AS \"end\", "
                                f"month = '{MONTH}' AS selected FROM y_months",

@@ -9,12 +9,12 @@ from veritally.operators.references import mark_known
 from veritally.rules import Rule, RulePack, SameRecord
 
 DIMENSIONS = {
-    "completeness": "Is anything missing that should be there?",
-    "consistency": "Do the values of a record agree?",
-    "integrity": "Do references to other tables resolve?",
-    "reasonability": "Does the pattern look usual for this data?",
-    "uniqueness": "Is each record there once?",
-    "validity": "Is each value inside its domain, format and type?",
+    "completeness": "values that are absent",
+    "consistency": "values of one record against each other",
+    "integrity": "keys against the tables that hold them",
+    "reasonability": "amounts and delays out of proportion",
+    "uniqueness": "records that occur again",
+    "validity": "values outside their range or list",
 }
 
 

@@ -12,7 +12,7 @@ from veritally.sources.store import ResultStore
 COMPANIES = list(rideshare.COMPANIES.values())
 
 
-def causes_frame(spark, causes: dict[str, str] = rideshare.VOLUME_CAUSES) -> DataFrame:
+def causes_frame(spark, causes: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(causes.items()), "day string, cause string")
 
 

@@ -259,12 +259,6 @@ def examples_for(examples: DataFrame, company: str) -> DataFrame:
     return examples.withColumn("mine", mine).where(~F.col("mine") | (F.col("company") == company)).drop("mine")
 
 
-def findings(documentation: DataFrame, registry: DataFrame) -> DataFrame:
-    """Documentation findings with the rule that shows them, where one does."""
-    rules = registry.select("rule", "title", "dimension", "severity", "verdict")
-    return documentation.join(rules, "rule", "left")
-
-
 def total_checked(stats: DataFrame, months: DataFrame) -> DataFrame:
     """Trips checked over all months."""
     rows = stats.where((F.col("rule") == "@all/defect") & (F.col("company") == BOTH)).join(months.distinct(), "month")

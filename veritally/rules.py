@@ -61,7 +61,6 @@ class RulePack:
     verdicts: tuple[str, ...] = ("defect", "business rule", "documentation gap")
     severities: tuple[str, ...] = ("error", "warning")
     sample_order: str | None = None
-    documentation: tuple[dict, ...] = field(default=())
 
     def __post_init__(self) -> None:
         problems = list(self._problems())
@@ -125,7 +124,7 @@ class RulePack:
             raise KeyError(f"no such rule: {sorted(missing)}")
         return RulePack(
             self.name, tuple(r for r in self.rules if r.id in ids), self.keys, self.dimensions,
-            self.verdicts, self.severities, self.sample_order, self.documentation,
+            self.verdicts, self.severities, self.sample_order,
         )
 
 
@@ -162,11 +161,3 @@ def registry_frame(spark: SparkSession, pack: RulePack) -> DataFrame:
         ],
         REGISTRY,
     )
-
-
-def documentation_frame(spark: SparkSession, pack: RulePack) -> DataFrame:
-    """What the documents say against what the data holds, with the rule that shows it."""
-    return spark.createDataFrame(
-        [(i, d["document"], d["says"], d["data"], d.get("rule")) for i, d in enumerate(pack.documentation)],
-        "position int, document string, says string, data string, rule string",
-    )
