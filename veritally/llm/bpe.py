@@ -39,7 +39,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Token ids of a byte string, read byte by byte."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], most_states: int | None = None):
+        self.most_states = most_states
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
@@ -164,7 +165,7 @@ class Transducer:
 
         A piece that is a token is that token, as the public library has it.
         """
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > (self.most_states or MOST_STATES):
             self._reset()
         whole = np.array([self.ranks.get(piece, -1) for piece in pieces], np.int64)
         sizes = np.array([len(piece) for piece in pieces], np.int64)
