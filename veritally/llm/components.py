@@ -17,18 +17,21 @@ def kept(df: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """member and root, the smallest member of its component, for pairs of member and via.
 
-    Members of one `via` are connected. Each round passes the smallest root through every `via`
-    and then follows roots of roots, so that long chains shorten too. Every step sums in each
-    task first; what is joined back is written first, so that joins on a frequent `via` can be split.
+    Members of one `via` are connected. Each round passes the smallest root through every `via`;
+    from the fourth on, roots of roots are followed too, so that long chains shorten. Every step
+    sums in each task first; one table is written in a round.
     """
-    pairs = kept(pairs.select("member", "via").distinct())
-    roots = pairs.select("member", F.col("member").alias("root")).distinct()
+    rows = kept(pairs.select("member", "via", F.col("member").alias("root")).distinct())
+    turn = 0
     while True:
-        low = kept(pairs.join(roots, "member").groupBy("via").agg(F.min("root").alias("low")))
-        near = kept(pairs.join(low, "via").groupBy("member").agg(F.min("low").alias("root")))
-        ahead = near.select(F.col("member").alias("root"), F.col("root").alias("next"))
-        new = kept(near.join(ahead, "root").select("member", F.least("root", "next").alias("root")))
+        turn += 1
+        low = rows.groupBy("via").agg(F.min("root").alias("low"))
+        near = rows.join(low, "via").groupBy("member").agg(F.min("low").alias("new"))
+        if turn > 3:
+            ahead = rows.select(F.col("member").alias("new"), F.col("root").alias("next")).distinct()
+            near = near.join(ahead, "new").select("member", F.least("new", "next").alias("new"))
+        rows = kept(rows.join(near, "member"))
         # A round that changes nothing is the last.
-        if new.join(roots.withColumnRenamed("root", "old"), "member").filter("root <> old").isEmpty():
-            return new
-        roots = new
+        if rows.filter("new <> root").isEmpty():
+            return rows.select("member", "root").distinct()
+        rows = rows.select("member", "via", F.col("new").alias("root"))

@@ -3,16 +3,17 @@
 A document's set is its distinct shingles of five words, as 64-bit hashes; two documents link at
 a similarity of 0.8 or more. Documents of equal sets are one node from the start.
 
-1. Which shingles may occur in two documents is counted exactly, by ranges of the hash, and kept
-   as a bit per hash slot. A document with too few such shingles links with nothing and goes
+1. Which shingles may occur in two documents is counted over all of them, by ranges of the hash,
+   and kept as a bit per hash slot; a bit too many does no harm. A document with too few such shingles links with nothing and goes
    no further; the others, near and exact copies for the most part, ship their sets.
 2. Shingles of a node are ordered from rare to frequent. Its prefix is so many that two nodes that
    link must share one. Nodes of identical prefix and size form a group; groups that share
    prefix shingles, directly or through others, form a hub.
 3. In a hub group pairs are filtered by size and prefix, then expanded, and members verified on
    their whole sets. Pairs already connected are skipped. A hub too large for one task is cut
-   into chunks. Each chunk meets its own nodes and the hub's most central ones; then what is not in the
-   hub's largest component meets all of the hub. Every pair that could add a connection is thus compared.
+   by size, and then into chunks, each of which also meets the most central nodes of its size.
+   Then, for each prefix shingle, what is outside the largest component that has it meets all that have it,
+   unless sizes or the shingle's place in the order rule a link out. Every pair that could add a connection is thus met.
 
 Any order of shingles gives right results, so the table of frequent ones may be bounded.
 
@@ -41,7 +42,7 @@ PERCENT = 80
 #: Slots that tell which hashes may repeat, as a power of two: 8 MB in each worker.
 SLOT_BITS = 26
 #: A shingle in more nodes than this is frequent; so many frequent ones are known by number.
-FREQUENT, MOST_FREQUENT = 64, 200_000
+FREQUENT, MOST_FREQUENT = 64, 100_000
 #: Shingles of the nodes of one chunk, and central nodes that each chunk of a hub meets.
 CHUNK, CENTRAL = 300_000, 32
 #: Characters of text behind one range of hashes, and the most ranges.
@@ -83,39 +84,42 @@ def repeated_slots(docs: DataFrame, column: str, words: int) -> np.ndarray:
     """Bits of the hash slots that hold a hash of two or more rows. Its size does not depend on the data."""
     chars = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
     ranges = 1 << min(MOST_RANGES.bit_length() - 1, max(6, (chars // RANGE_CHARS).bit_length()))
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    bits = ranges.bit_length() - 1
+    shift = np.uint64(64 - bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
 
         def blocks() -> pa.RecordBatch:
+            # The range holds the upper bits; the 32 below are enough to tell hashes apart here.
             hashes = np.sort(np.concatenate(waiting))
             waiting.clear()
             at = np.searchsorted(hashes, np.arange(ranges, dtype=np.uint64) << shift)
-            parts = np.split(hashes, at[1:])
+            parts = np.split((hashes << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), at[1:])
             real = [i for i, part in enumerate(parts) if len(part)]
             return pa.RecordBatch.from_arrays([pa.array(real, pa.int32()), pa.array([parts[i].tobytes() for i in real], pa.binary())], names=["range", "hashes"])
 
         for batch in text.pieces(batches, column):
             waiting.append(shingles(batch.column(column), words)[1])
-            if sum(map(len, waiting)) > 4_000_000:
+            if sum(map(len, waiting)) > 1_000_000:
                 yield blocks()
         if waiting:
             yield blocks()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, parts in by_key(batches, ["range"]):
-            hashes = np.sort(np.concatenate([np.frombuffer(part["hashes"], np.uint64) for part in parts]))
-            again = hashes[1:][hashes[1:] == hashes[:-1]]
-            slots = np.unique(again >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        for (number,), parts in by_key(batches, ["range"]):
+            hashes = np.sort(np.concatenate([np.frombuffer(part["hashes"], np.uint32) for part in parts]))
+            again = hashes[1:][hashes[1:] == hashes[:-1]].astype(np.uint64)
+            slots = np.unique((np.uint64(number) << np.uint64(32) | again) >> np.uint64(32 + bits - SLOT_BITS)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([slots.tobytes()], pa.binary())], names=["slots"])
 
     found = docs.select(column).mapInArrow(cut, "range int, hashes binary")
     found = found.repartition("range").sortWithinPartitions("range").mapInArrow(count, "slots binary")
-    bits = np.zeros(1 << SLOT_BITS, bool)
+    packed = np.zeros(1 << SLOT_BITS - 3, np.uint8)
     for row in found.toLocalIterator():
-        bits[np.frombuffer(row["slots"], np.int32)] = True
-    return np.packbits(bits)
+        slots = np.frombuffer(row["slots"], np.int32)
+        np.bitwise_or.at(packed, slots >> 3, (128 >> (slots & 7)).astype(np.uint8))
+    return packed
 
 
 def by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
@@ -165,12 +169,11 @@ def sets(docs: DataFrame, slots: np.ndarray, column: str, words: int, percent: i
 
 
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """nodes with prefix: the rarest shingles, of which linked nodes share one; and the share of frequent ones."""
+    """key, n, prefix (the rarest shingles, of which linked nodes share one), central (the share of frequent ones)."""
     spark = nodes.sparkSession
     counts = nodes.select(F.explode("hashes").alias("hash")).groupBy("hash").count()
-    frequent = counts.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).toPandas()
-    frequent = frequent.sort_values("hash")
-    shared = spark.sparkContext.broadcast((frequent["hash"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
+    frequent = counts.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).collect()
+    shared = spark.sparkContext.broadcast(tuple(np.array(sorted(map(tuple, frequent)), np.int64).reshape(-1, 2).T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
@@ -185,10 +188,11 @@ def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
                 out.append(part[np.lexsort((part, count))[:size]])
                 central.append(np.count_nonzero(count) / len(part))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.list_(pa.int64())), pa.array(central, pa.float64())], names=[*batch.schema.names, "prefix", "central"]
+                [batch.column("key"), batch.column("n"), pa.array(out, pa.list_(pa.int64())), pa.array(central, pa.float64())],
+                names=["key", "n", "prefix", "central"],
             )
 
-    return nodes.mapInArrow(run, text.wider(nodes, "prefix array<bigint>, central double"))
+    return nodes.select("key", "n", "hashes").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, central double")
 
 
 class _Union:
@@ -253,16 +257,6 @@ def _solve(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(map(known.root, keys), pa.binary())], names=["key", "root"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of hubs and outsiders of the same hub, with the roots known so far: pairs of roots that a link joins."""
-    for _, rows in by_key(batches, ["hub", "chunk"]):
-        known = _Union({row["key"] for row in rows} | {row["root"] for row in rows})
-        for row in rows:
-            known.join(row["key"], row["root"])
-        made = connect([row for row in rows if row["guest"]], [row for row in rows if not row["guest"]], known, percent)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.binary())], names=["key", "root"])
-
-
 def _dealt(rows: DataFrame, solve, percent: int) -> DataFrame:
     """Each chunk in one task, its rows together."""
     parts = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")
@@ -270,49 +264,70 @@ def _dealt(rows: DataFrame, solve, percent: int) -> DataFrame:
 
 
 def roots(nodes: DataFrame, percent: int) -> DataFrame:
-    """key and root for each node (key, n, hashes) that links with another; equal roots are one component."""
-    nodes = kept(prefixes(nodes, percent))
-    # Groups of identical prefix and size, and the prefix shingles that two groups share.
-    group = F.xxhash64("prefix", "n")
-    pairs = nodes.select(group.alias("member"), "prefix").dropDuplicates(["member"]).select("member", F.explode("prefix").alias("via"))
-    shared = pairs.groupBy("via").agg(F.count("*").alias("c")).filter("c > 1").select("via")
-    hubs = components(pairs.join(shared, "via"))
+    """key and root for each node (key, n, hashes) that links with another; equal roots are one component.
+
+    Sets are joined in only where they are compared.
+    """
+    light = kept(prefixes(nodes, percent).withColumn("member", F.xxhash64("prefix", "n")))
+    # Groups of identical prefix and size, and the prefix shingles that two groups share. Shingles
+    # that the very same groups share say the same: the first in the common order stands for all.
+    pairs = light.select("member", "prefix").dropDuplicates(["member"]).select("member", F.posexplode("prefix").alias("pos", "via"))
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "member")).alias(f"x{k}") for k in (1, 2)]
+    shared = pairs.groupBy("via").agg(F.count("*").alias("c"), F.min("pos").alias("low"), *same).filter("c > 1")
+    shared = shared.groupBy("c", "x1", "x2").agg(F.min_by("via", "low").alias("via")).select("via")
+    pairs = kept(pairs.join(shared, "via"))
     # A group that shares no shingle is a hub of its own members.
-    rows = nodes.withColumn("member", group).join(hubs, "member", "left").withColumn("hub", F.coalesce("root", "member")).drop("member", "root")
-    sizes = rows.groupBy("hub").agg(F.sum("n").alias("all"), F.count("*").alias("nodes")).filter("nodes > 1")
-    rows = rows.join(sizes, "hub").withColumn("chunks", F.ceil(F.col("all") / CHUNK).cast("int"))
-    rows = kept(rows.withColumn("chunk", F.expr("cast(pmod(xxhash64(key), chunks) as int)")))
+    placed = light.join(components(pairs), "member", "left").withColumn("hub", F.coalesce("root", "member")).drop("root")
+    hubs = placed.groupBy("hub").agg((F.sum("n") > CHUNK).alias("large"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # A large hub is split by size first, as near copies are of about one size, then by chance.
+    by_size = F.xxhash64("hub", F.floor(F.log("n") / F.log(F.lit(1.02))))
+    placed = placed.join(hubs, "hub").withColumn("hub", F.when(F.col("large"), by_size).otherwise(F.col("hub")))
+    chunks = placed.groupBy("hub").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    placed = kept(placed.join(chunks, "hub").withColumn("chunk", F.expr("cast(pmod(xxhash64(key), chunks) as int)")))
+    hashes = nodes.select("key", "hashes")
     columns = ("hub", "chunk", "key", "n", "hashes", "prefix")
     guest, own = F.lit(True).alias("guest"), F.lit(False).alias("guest")
-    small = _dealt(rows.filter("chunks = 1").select(*columns, own), _solve, percent)
-    large = rows.filter("chunks > 1")
-    if large.isEmpty():
-        return small
-    turn = F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("central"), F.desc("n"), "key"))
-    centre = large.withColumn("turn", turn).filter(F.col("turn") <= CENTRAL)
+    centre = F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("central"), F.desc("n"), "key"))
+    central = kept(placed.filter("chunks > 1").withColumn("turn", centre).filter(F.col("turn") <= CENTRAL))
     every_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    visits = centre.drop("chunk").select("*", every_chunk).select(*columns, guest)
-    others = large.join(centre.select("key"), "key", "left_anti").select(*columns, own)
-    first = kept(_dealt(visits.unionByName(others), _solve, percent))
-    found = components(first.select(F.col("key").alias("member"), F.col("root").alias("via")))
-    rooted = large.join(found.withColumnRenamed("member", "key"), "key")
-    # All that is outside the largest component of its hub meets all of the hub.
-    parts = rooted.groupBy("hub", "root").agg(F.count("*").alias("c"))
-    largest = parts.groupBy("hub").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    rooted = kept(rooted.join(largest, "hub"))
-    outside = rooted.filter("root <> main")
-    if outside.isEmpty():
-        return small.unionByName(found.select(F.col("member").alias("key"), "root"))
-    rounds = outside.groupBy("hub").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("rounds"))
-    columns = (*columns, "root")
-    hosts = rooted.join(rounds, "hub").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
-    visitors = outside.join(rounds, "hub").withColumn("turn", F.expr("cast(pmod(xxhash64(key, 1), rounds) as int)")).drop("chunk").select("*", every_chunk)
-    place = (F.col("chunk") * F.col("rounds") + F.col("turn")).alias("chunk")
-    both = hosts.withColumn("chunk", place).select(*columns, own).unionByName(visitors.withColumn("chunk", place).select(*columns, guest))
-    second = _dealt(both, _meet, percent).select(F.col("key").alias("member"), F.col("root").alias("via"))
-    flipped = second.select(F.col("via").alias("member"), "via")
-    pairs = found.select("member", F.col("root").alias("via")).unionByName(second).unionByName(flipped)
-    return small.unionByName(components(pairs).select(F.col("member").alias("key"), "root"))
+    visits = central.join(hashes, "key").drop("chunk").select("*", every_chunk).select(*columns, guest)
+    others = placed.join(central.select("key"), "key", "left_anti").join(hashes, "key").select(*columns, own)
+    first = kept(_dealt(others.unionByName(visits), _solve, percent))
+    large = placed.filter("large")
+    if large.isEmpty():
+        return first
+    # Where no chunk met guests, every node is in one chunk alone and has one root.
+    found = first.select(F.col("key").alias("member"), "root")
+    if not central.isEmpty():
+        found = components(found.select("member", F.col("root").alias("via")))
+    linked_pairs = _across(large.join(found.select(F.col("member").alias("key"), "root"), "key"), pairs, hashes, percent)
+    if linked_pairs.isEmpty():
+        return found.select(F.col("member").alias("key"), "root")
+    edges = found.select("member", F.col("root").alias("via")).unionByName(linked_pairs).unionByName(linked_pairs.select(F.col("via").alias("member"), "via"))
+    return components(edges).select(F.col("member").alias("key"), "root")
+
+
+def _across(rooted: DataFrame, pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
+    """member and via: links between nodes of large hubs whose roots still differ.
+
+    What is outside the largest component that shares a shingle meets all that share it, where
+    that shingle is early enough in both orders: sets that link share one among the first
+    n - overlap + 1 of either, with the overlap that their two sizes ask for.
+    """
+    own = rooted.select("member", F.col("member").alias("via"), F.lit(0).alias("pos")).distinct()
+    rows = kept(pairs.select("member", "via", "pos").unionByName(own).join(rooted.select("member", "key", "n", "root"), "member").drop("member"))
+    main = rows.groupBy("via", "root").agg(F.count("*").alias("c")).groupBy("via").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+    rows = rows.join(kept(main.filter("roots > 1").drop("roots")), "via")
+    outside = rows.filter("root <> main").select("via", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root", "pos")])
+    fits = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("key") < F.col("key2")))
+    fits &= (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))
+    overlap = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    fits &= (F.col("pos") <= F.col("n") - overlap) & (F.col("pos2") <= F.col("n2") - overlap)
+    met = rows.join(outside, "via").filter(fits).select("key", "key2", (F.col("n") + F.col("n2")).alias("all"))
+    met = kept(met.distinct())
+    both = met.join(hashes, "key").join(hashes.select(F.col("key").alias("key2"), F.col("hashes").alias("hashes2")), "key2")
+    shared = F.size(F.array_intersect("hashes", "hashes2"))
+    return kept(both.filter(100 * shared >= percent * (F.col("all") - shared)).select(F.col("key").alias("member"), F.col("key2").alias("via")))
 
 
 def join(docs: DataFrame, column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
