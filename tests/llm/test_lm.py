@@ -115,3 +115,34 @@ def test_text_like_the_training_text_is_likelier(spark, ranks):
     ask = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "dog lazy the over jumps fox brown quick the")], "doc_id bigint, text string")
     score = {r.doc_id: (r.score, r.base_score) for r in lm.score(ask, model, counted, ranks).collect()}
     assert score[1][0] > score[2][0] + 2 and score[1][0] > score[1][1]
+
+
+def test_rare_continuations_count_as_in_memory(spark, ranks, monkeypatch):
+    """Scores with most words joined are those of one table in memory that holds every continuation."""
+    docs = edge_docs(spark)
+    train = docs.filter(F.coalesce(F.col("doc_id") != 8, F.lit(True)))
+    spelling = lm.Spelling(RANKS)
+    own = Counter(w for i, t in TEXTS if i != 8 for w in words(t))
+    table, counts = Counter(), np.zeros(spelling.end + 1, np.int64)
+    counts[spelling.end] = sum(i != 8 for i, _ in TEXTS)
+    for word, n in own.items():
+        offsets, ids = spelling.spelled([word])
+        for left, at, after in zip(lm.contexts(offsets, ids), ids, [*ids[1:], lm.NEW]):
+            counts[at] += n
+            for context in (left, at):
+                table[int(context), int(after)] += n
+                table[int(context), lm.ALL] += n
+    columns = (np.array(x) for x in zip(*[(c, w, n) for (c, w), n in table.items()]))
+    begins = np.array([spelling.machine.tokens.get(i, b" ")[:1] == b" " for i in range(spelling.end + 1)])
+    whole = lm.Following(*columns, counts, begins)
+    monkeypatch.setattr(lm, "MOST_FOLLOWING", 3, raising=False)  # no such bound may count
+    for most in (3, lm.MOST_KNOWN):
+        monkeypatch.setattr(lm, "MOST_KNOWN", most)
+        model, stays = lm.learn(train, ranks, shape=SMALL, training=QUICK)
+        for row in lm.score(docs, model, stays, ranks).collect():
+            offsets, ids, left, _ = spelling.spell(lm.pa.array([row.text], lm.pa.string()))
+            owner, first, _ = lm.cut(offsets, SMALL)
+            windows = lm.laid_out(offsets, ids, owner, first, SMALL)
+            attention = model.attention.score(windows)[windows[:, -SMALL.stride :] >= 0]
+            both = lm.SHARE * np.exp(attention) + (1 - lm.SHARE) * whole.score(ids, left, offsets[:-1])
+            assert abs(np.log10(both).sum() - row.score) < 1e-5 * abs(row.score)
