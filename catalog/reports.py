@@ -29,6 +29,11 @@ class Landed:
     def __getattr__(self, table: str) -> DataFrame:
         return self.store.read(table)
 
+    @property
+    def written_quality(self) -> DataFrame:
+        """Quality rows of every month the job checked, published or not."""
+        return self.store.read_written("quality")
+
     @property
     def months(self) -> DataFrame:
         return self.store.months()
@@ -93,6 +98,8 @@ REPORTS = {
         "published", F.col("published").cast("string")),
     "rpt_volume_rows": lambda d: status.volume_rows(d.series),
     "rpt_examples_for_company": lambda d: status.examples_for(d.examples, "Lyft").select("month", "rule", "rank", "company"),
+    "rpt_total_checked": lambda d: status.total_checked(d.stats, d.months),
+    "rpt_checked_unpublished": lambda d: status.checked_unpublished(d.written_quality, d.months),
     "rpt_selected_months": lambda d: status.selected_months(d.store.read("facts").select("month").distinct(), MONTH).select(
         "month", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "selected"),
     "rpt_metadata": _meta,
@@ -168,6 +175,8 @@ def oracle() -> dict[str, str]:
         "rpt_examples_for_company": """SELECT month, rule, "rank", company FROM x_examples WHERE month IN (SELECT month FROM y_published)
             QUALIFY company = 'Lyft' OR NOT bool_or(company = 'Lyft') OVER (PARTITION BY month, rule)""",
         "rpt_total_checked": "SELECT sum(checked)::BIGINT AS trips FROM y_stats WHERE rule = '@all/defect' AND company = 'Both'",
+        "rpt_checked_unpublished": """SELECT month, coalesce(sum(checked), 0)::BIGINT AS trips FROM x_quality
+            WHERE rule = '@all/defect' AND month NOT IN (SELECT month FROM y_months) GROUP BY month""",
         "rpt_selected_months": f"SELECT month, month || '-01' AS start, (((month || '-01')::DATE + INTERVAL 1 MONTH)::DATE)::VARCHAR AS \"end\", "
                                f"month = '{MONTH}' AS selected FROM y_months",
         "rpt_metadata": f"""SELECT (SELECT count(*) FROM y_months)::INT AS months, (SELECT min(month) FROM y_months) AS first,

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as registered
 import compare
+from oracle.base import query as oracle_query
 from tests.conftest import FOLDER
 
 # Queries of the optional part have their tests in their own folder.
@@ -24,3 +25,16 @@ def test_same_rows(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(OWN) <= set(registered.oracle_sql())
+
+
+def test_every_report_sql_has_a_query():
+    """The other direction: SQL without a registered query is a report that was lost."""
+    own = {n for n in registered.oracle_sql() if not n.startswith("op") or n.startswith("ops_")}
+    assert own - set(OWN) == set()
+
+
+def test_checked_trips_are_counted_once_published_or_not(spark, con):
+    got = {n: registered.queries()[n](spark, FOLDER).collect() for n in ("rpt_total_checked", "rpt_checked_unpublished")}
+    checked = con.execute(oracle_query("SELECT sum(checked) FROM x_quality WHERE rule = '@all/defect'")).fetchone()[0]
+    assert sum(row.trips for rows in got.values() for row in rows) == checked
+    assert [row.month for row in got["rpt_checked_unpublished"]] == ["1900-01"]

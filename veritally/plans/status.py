@@ -265,6 +265,12 @@ def total_checked(stats: DataFrame, months: DataFrame) -> DataFrame:
     return rows.agg(F.sum("checked").alias("trips"))
 
 
+def checked_unpublished(quality: DataFrame, months: DataFrame) -> DataFrame:
+    """Trips checked in each month that is not among the published ones; total_checked leaves these out."""
+    rows = quality.where(F.col("rule") == "@all/defect").join(months.distinct(), "month", "left_anti")
+    return rows.groupBy("month").agg(F.sum("checked").alias("trips"))
+
+
 def selected_months(months: DataFrame, month: str) -> DataFrame:
     """Months with their half-open date range, and whether each is the selected one."""
     start = F.to_date(F.concat("month", F.lit("-01")))

@@ -90,6 +90,14 @@ class ResultStore:
             self._tables[key] = rows.withColumn("month", month).drop("run")
         return self._tables[key]
 
+    def read_written(self, table: str) -> DataFrame:
+        """A table's rows of each month's latest run, whether the month is finished or not."""
+        rows = self.spark.read.option("basePath", f"{self.base}/{table}").parquet(f"{self.base}/{table}")
+        month = F.date_format("month", "yyyy-MM") if dict(rows.dtypes)["month"] == "date" else F.col("month")
+        rows = rows.withColumn("month", month).withColumn("run", F.col("run").cast("string"))
+        latest = rows.groupBy("month").agg(F.max("run").alias("run"))
+        return rows.join(latest, ["month", "run"], "left_semi").drop("run")
+
     def publish(self, name: str, df: DataFrame) -> None:
         """Replace a small table that spans months. Readers take the latest one written whole."""
         path = f"{self.base}/across/{name}/{self.new_run()}"
