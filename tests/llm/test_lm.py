@@ -146,3 +146,24 @@ def test_rare_continuations_count_as_in_memory(spark, ranks, monkeypatch):
             attention = model.attention.score(windows)[windows[:, -SMALL.stride :] >= 0]
             both = lm.SHARE * np.exp(attention) + (1 - lm.SHARE) * whole.score(ids, left, offsets[:-1])
             assert abs(np.log10(both).sum() - row.score) < 1e-5 * abs(row.score)
+
+
+def test_every_training_window_is_learned_from(spark, ranks):
+    """What the sample lacks is in the classes and the weights: the number of windows is that of all texts."""
+    usual = [(k, "the quick brown fox jumps over the lazy dog " * 8) for k in range(40)]
+    other = [(k + 40, "seven zebras quietly examined purple umbrellas " * 8) for k in range(40)]
+    docs = spark.createDataFrame(usual + other, "doc_id bigint, text string").repartition(3)
+    training = lm.Training(sample=1, windows=1, steps=5, batch=8)
+    made = lm.learn(docs, ranks, shape=SMALL, training=training)[0].attention
+    spelling = lm.Spelling(RANKS)
+    offsets, ids, _, _ = spelling.spell(lm.pa.array([t for _, t in usual + other]))
+    assert made.trained_on == len(lm.cut(offsets, SMALL)[0])
+    seen = np.unique(ids)
+    shared = made.vocabulary.classes[seen][made.vocabulary.classes[seen] >= SMALL.own_classes]
+    sample = lm._sampled(docs, ranks, "text", SMALL, training)
+    start = lm.Attention(SMALL, made.vocabulary, training.seed)
+    start.fit(sample, training)
+    owner, first, _ = lm.cut(offsets, SMALL)
+    every = lm.laid_out(offsets, ids, owner, first, SMALL)
+    assert made.gradients(every)[0] < start.gradients(every)[0]
+    assert len(shared) == 0 or made.vocabulary.n_classes - 1 not in shared
