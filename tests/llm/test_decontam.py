@@ -45,3 +45,16 @@ def test_query_against_sql(spark):
     con = compare.connect(FOLDER)
     own = queries.decontamination(spark, FOLDER).collect()
     assert sorted(map(tuple, own)) == sorted(con.execute(oracle.DECONTAMINATION).fetchall())
+
+
+def test_a_fifth_of_a_short_item_may_be_replaced_anywhere(spark):
+    """All placements for 9 to 14 words, laid over documents, for items of their own words."""
+    rows, items = [], []
+    for n in range(9, 15):
+        item = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for gone in itertools.combinations(range(n), n - -(-8 * n // 10)):
+            rows.append((len(rows), " ".join(["before"] + ["other" if i in gone else w for i, w in enumerate(item)] + ["after"]), n))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint")
+    found = decontam.overlaps(docs.drop("n"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, n) for k, _, n in rows]

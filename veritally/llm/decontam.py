@@ -23,6 +23,8 @@ from veritally.llm.components import kept
 
 #: Whichever three of fifteen words are replaced, one of these masks still fits (a test tries all 455 ways).
 MASKS = ("110100011", "1010111", "111100001")
+#: Items of 9 to 14 words have this one too: with it a fifth of any of them may be replaced (a test tries all ways).
+SHORT_MASK = "1100111"
 WINDOW, PERCENT = 15, 80
 #: Bits of the tables, as a power of two.
 TABLE_BITS = 17
@@ -66,14 +68,15 @@ def _in_table(table: Column, value: Column) -> Column:
 
 
 def seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """mask, h, item_id, at: every seed of every item; items has item_id and words."""
+    """mask, h, item_id, at: every seed of every item; items has item_id and words. The short mask has the number after the others."""
     longest = max(map(len, masks))
     long_enough = items.filter(F.size("words") >= longest)
 
     def of(number: int, mask: str) -> Column:
         return F.transform(_starts(F.col("words"), mask), lambda at: F.struct(F.lit(number).alias("mask"), _seed(number, mask, F.col("words"), at).alias("h"), at.alias("at")))
 
-    every = F.concat(*[of(number, mask) for number, mask in enumerate(masks)])
+    short = F.filter(of(len(masks), SHORT_MASK), lambda _: F.size("words") < WINDOW)
+    every = F.concat(*[of(number, mask) for number, mask in enumerate(masks)], short)
     return long_enough.select("item_id", F.explode(every).alias("s")).select("s.mask", "s.h", "item_id", "s.at")
 
 
@@ -109,7 +112,9 @@ def overlaps(docs: DataFrame, items: DataFrame, column: str = "text", masks: tup
     words_table = _table(tests.select(F.explode("words").alias("h")))
     seeds_table = _table(test_seeds.select("h"))
     texts = marked.select(*DOC, hashed_words(column).alias("words"))
-    found = kept(hits(texts, words_table, seeds_table, masks))
+    # Documents are searched for the short mask only if an item has seeds of it.
+    searched = masks if test_seeds.filter(F.col("mask") == len(masks)).isEmpty() else (*masks, SHORT_MASK)
+    found = kept(hits(texts, words_table, seeds_table, searched))
     shifts = found.withColumnRenamed("at", "here").join(test_seeds, ["mask", "h"]).select(*DOC, "item_id", (F.col("here") - F.col("at")).alias("shift")).distinct()
     tests = tests.withColumnRenamed("words", "item_words").filter(F.size("item_words") > 0)
     # Only documents with a hit are read again.
