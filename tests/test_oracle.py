@@ -38,3 +38,12 @@ def test_checked_trips_are_counted_once_published_or_not(spark, con):
     checked = con.execute(oracle_query("SELECT sum(checked) FROM x_quality WHERE rule = '@all/defect'")).fetchone()[0]
     assert sum(row.trips for rows in got.values() for row in rows) == checked
     assert [row.month for row in got["rpt_checked_unpublished"]] == ["1900-01"]
+
+
+def test_lines_without_an_order_are_reconciled(spark, tmp_path):
+    for table in ("customer", "lineitem"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"{FOLDER}/{table}.parquet")
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    orders.where("o_orderkey % 5 <> 0").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = registered.queries()["star_revenue"](spark, str(tmp_path)).where("month = 'no order'").collect()
+    assert [(row.company, row.status, row.value) for row in rows] == [("no order", "fail", None)]
