@@ -85,3 +85,49 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach
 SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sized z ON z.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
+
+#: The hash trees level by level, crc32 by its table, and each leaf's siblings folded one after another.
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), fields AS (
+  SELECT doc_id, lang, n_chars IS NOT NULL AND xor(list_reduce(
+           list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), k, 1)) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS hit,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n0, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS n1,
+         coalesce(strlen(text) || ':' || text, '-') AS after
+  FROM documents, crc_table
+), leaves AS (
+  SELECT doc_id, lang, sha256(before || n0 || after) AS leaf, sha256(before || CASE WHEN hit THEN n1 ELSE n0 END || after) AS other FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaves
+), nodes(g, lvl, pos, d) AS (
+  SELECT g, 0, pos, leaf FROM placed
+  UNION ALL
+  SELECT g, lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM nodes) WHERE n > 1 GROUP BY g, lvl, pos // 2
+), tops AS (SELECT g, max(lvl) AS height, arg_max(d, lvl) AS subroot FROM nodes GROUP BY g),
+above(lvl, pos, d) AS (
+  SELECT 0, g, subroot FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM above) WHERE n > 1 GROUP BY lvl, pos // 2
+), root AS (SELECT max(lvl) AS height, arg_max(d, lvl) AS root FROM above),
+tree AS (
+  SELECT n.g, n.lvl, n.pos, n.d FROM nodes n JOIN tops USING (g) WHERE n.lvl < tops.height
+  UNION ALL
+  SELECT t.g, t.height + a.lvl, a.pos, a.d FROM tops t, above a, root r WHERE a.lvl < r.height
+), paths AS (
+  SELECT p.g, p.pos AS leaf_at, t.lvl, CASE WHEN t.lvl < h.height THEN p.pos >> t.lvl ELSE p.g >> (t.lvl - h.height) END AS at
+  FROM placed p JOIN tops h ON h.g = p.g JOIN (SELECT DISTINCT g, lvl FROM tree) t ON t.g = p.g
+), steps AS (
+  SELECT p.g, p.leaf_at, p.lvl, p.at, s.d FROM paths p LEFT JOIN tree s ON s.g = p.g AND s.lvl = p.lvl AND s.pos = xor(p.at, 1)
+), folded(g, leaf_at, lvl, now, proof) AS (
+  SELECT g, pos, 0, other, '' FROM placed
+  UNION ALL
+  SELECT f.g, f.leaf_at, f.lvl + 1, sha256(CASE WHEN s.d IS NULL THEN f.now WHEN s.at % 2 = 1 THEN s.d || f.now ELSE f.now || s.d END), f.proof || coalesce(s.d, '')
+  FROM folded f JOIN steps s ON s.g = f.g AND s.leaf_at = f.leaf_at AND s.lvl = f.lvl
+), ends AS (SELECT g, leaf_at, arg_max(now, lvl) AS now, arg_max(proof, lvl) AS proof FROM folded GROUP BY ALL)
+SELECT p.doc_id, p.leaf, t.subroot, r.root, sha256(e.proof) AS proof_sha256, e.now AS folded_root, e.now = r.root AS verified
+FROM placed p JOIN tops t USING (g) JOIN ends e ON e.g = p.g AND e.leaf_at = p.pos, root r
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, decontam, jaccard, langid, linededup, lm, quality, repeats, sharding, text, urlrules
+from veritally.llm import bpe, decontam, jaccard, langid, linededup, lm, manifest, quality, repeats, sharding, text, urlrules
 from veritally.llm import oracle as sql
 
 SHARDS = 16
@@ -68,6 +68,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.judge(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verify(_table(spark, folder, "documents"))
+
+
 def queries():
     return {
         "op1_quality_classifier": quality_classifier,
@@ -80,6 +84,7 @@ def queries():
         "op8_url_filter": url_filter,
         "op9_ngram_jaccard": jaccard_join,
         "op10_quality_rules": quality_rules,
+        "op13_merkle_manifest": merkle_manifest,
     }
 
 
@@ -89,4 +94,5 @@ def oracle() -> dict[str, str]:
         "op7_line_dedup": sql.LINE_DEDUP,
         "op8_url_filter": sql.URL_FILTER,
         "op9_ngram_jaccard": sql.NGRAM_JACCARD,
+        "op13_merkle_manifest": sql.MERKLE_MANIFEST,
     }
