@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import bpe, decontam, jaccard, langid, linededup, lm, manifest, quality, repeats, sharding, text, urlrules
+from veritally.llm import ann, bpe, decontam, jaccard, langid, linededup, lm, manifest, quality, repeats, sharding, text, urlrules
 from veritally.llm import oracle as sql
 
 SHARDS = 16
+NEIGHBOURS = 20
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +69,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.judge(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, NEIGHBOURS)
+
+
 def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.verify(_table(spark, folder, "documents"))
 
@@ -84,6 +89,7 @@ def queries():
         "op8_url_filter": url_filter,
         "op9_ngram_jaccard": jaccard_join,
         "op10_quality_rules": quality_rules,
+        "op12_nearest_neighbours": nearest_neighbours,
         "op13_merkle_manifest": merkle_manifest,
     }
 
@@ -94,5 +100,6 @@ def oracle() -> dict[str, str]:
         "op7_line_dedup": sql.LINE_DEDUP,
         "op8_url_filter": sql.URL_FILTER,
         "op9_ngram_jaccard": sql.NGRAM_JACCARD,
+        "op12_nearest_neighbours": nearest_neighbours,
         "op13_merkle_manifest": sql.MERKLE_MANIFEST,
     }
