@@ -141,8 +141,8 @@ def _level(nodes: DataFrame) -> DataFrame:
     return kept(nodes.groupBy("tree", "block").applyInPandas(lambda frame: _appended(frame, bits), schema))
 
 
-def grown(nodes: DataFrame) -> DataFrame:
-    """nodes of (tree, place, total, node, ...) with path, the whole witness, and top, the tree's root."""
+def grown(nodes: DataFrame) -> list[DataFrame]:
+    """The levels over nodes of (tree, place, total, node, ...): blocks of nodes, then of blocks, up to a block a tree."""
     levels = [_level(nodes)]
     most = levels[0].agg(F.max("total")).first()[0] or 0
     while most > 1 << BITS:
@@ -150,11 +150,25 @@ def grown(nodes: DataFrame) -> DataFrame:
         above = F.ceil(F.col("total") / (1 << BITS)).cast("bigint")
         roots = levels[-1].filter(F.col("place") % (1 << BITS) == 0)
         levels.append(_level(roots.select("tree", F.col("block").alias("place"), above.alias("total"), F.col("root").alias("node"))))
-    # From the top down: a node's witness, then that of its block's root.
-    done = levels[-1].withColumns({"path": F.col("witness"), "top": F.col("root")})
-    for level in reversed(levels[:-1]):
-        upper = done.select("tree", F.col("place").alias("block"), F.col("path").alias("_upper"), "top")
-        done = level.join(upper, ["tree", "block"]).withColumn("path", F.concat("witness", "_upper")).drop("_upper")
+    return levels
+
+
+def tops(levels: list[DataFrame]) -> DataFrame:
+    """(tree, top): each tree's root."""
+    return levels[-1].filter("place = 0").select("tree", F.col("root").alias("top"))
+
+
+def lowered(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+    """The lowest level's nodes with path, their witness up to the root of all, and the columns of above.
+
+    above has a row a tree: tree, path and more. It goes to the highest level, where a tree has one block; below that a
+    node gets what its block's root has.
+    """
+    more = [name for name in above.columns if name != "tree"]
+    upper, key = above.withColumnRenamed("path", "_upper"), ["tree"]
+    for level in reversed(levels):
+        done = level.join(upper, key).withColumn("path", F.concat("witness", "_upper")).drop("_upper")
+        upper, key = done.select("tree", F.col("place").alias("block"), *more).withColumnRenamed("path", "_upper"), ["tree", "block"]
     return done.drop("block", "witness", "root")
 
 
@@ -178,12 +192,12 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def witnessed(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, node, tampered, top (subroot), whole (root) and path: its siblings up to the root."""
-    rows = grown(numbered(leaves(docs), "tree", F.col("doc_id"), F.col("node")))
-    subroots = rows.filter("place = 0").select("tree", F.col("top").alias("node"))
-    everything = numbered(subroots.select(F.lit("").alias("all"), "tree", "node"), "all", F.col("tree"))
-    above = grown(everything.select(F.col("all").alias("tree"), F.col("tree").alias("group"), "place", "total", "node"))
-    above = above.select(F.col("group").alias("tree"), F.col("path").alias("_above"), F.col("top").alias("whole"))
-    return rows.join(above, "tree").withColumn("path", F.concat("path", "_above")).drop("_above")
+    levels = grown(numbered(leaves(docs), "tree", F.col("doc_id"), F.col("node")))
+    subroots = tops(levels).select(F.lit("").alias("all"), "tree", F.col("top").alias("node"))
+    over = grown(numbered(subroots, "all", F.col("tree")).withColumnsRenamed({"tree": "group", "all": "tree"}))
+    root = tops(over).select("tree", F.col("top").alias("whole"), F.lit(b"").alias("path"))
+    above = lowered(over, root).select(F.col("group").alias("tree"), "path", F.col("node").alias("top"), "whole")
+    return lowered(levels, above)
 
 
 def verify(docs: DataFrame) -> DataFrame:
