@@ -131,3 +131,25 @@ tree AS (
 SELECT p.doc_id, p.leaf, t.subroot, r.root, sha256(e.proof) AS proof_sha256, e.now AS folded_root, e.now = r.root AS verified
 FROM placed p JOIN tops t USING (g) JOIN ends e ON e.g = p.g AND e.leaf_at = p.pos, root r
 """
+
+#: Every phrase of up to five words counted as it stands, every cut of it, and every longer one that holds it.
+PHRASE_MINING = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM worded),
+counted AS (
+  SELECT lang, m, ws[i:i + m - 1] AS p, count(*) AS f FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100
+), sizes AS (SELECT lang, sum(len(ws)) AS n FROM worded GROUP BY lang),
+cand AS (SELECT * FROM counted WHERE m > 1),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, CAST(s.n AS BIGINT) AS n, (1000::HUGEINT * c.f::HUGEINT * s.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM cand) c JOIN counted x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN counted y ON y.lang = c.lang AND y.p = c.p[c.k + 1:c.m] JOIN sizes s ON s.lang = c.lang
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, p[i:i + j - 1] AS p, f FROM (SELECT *, unnest(generate_series(1, m - j + 1)) AS i FROM (SELECT *, unnest(generate_series(2, m - 1)) AS j FROM cand WHERE m > 2))
+), left_over AS (SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM inside o WHERE o.lang = c.lang AND o.p = c.p AND 100 * o.f >= 100 * c.a))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM left_over)
+WHERE rank <= 2000
+"""

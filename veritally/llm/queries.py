@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import ann, bpe, decontam, jaccard, langid, linededup, lm, manifest, quality, repeats, sharding, text, urlrules
+from veritally.llm import ann, bpe, decontam, jaccard, langid, linededup, lm, manifest, phrases, quality, repeats, sharding, text, urlrules
 from veritally.llm import oracle as sql
 
 SHARDS = 16
 NEIGHBOURS = 20
+PHRASES = 2000
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +70,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.judge(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+def phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(_table(spark, folder, "documents").select("lang", "text"), PHRASES)
+
+
 def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, NEIGHBOURS)
 
@@ -89,6 +94,7 @@ def queries():
         "op8_url_filter": url_filter,
         "op9_ngram_jaccard": jaccard_join,
         "op10_quality_rules": quality_rules,
+        "op11_phrase_mining": phrase_mining,
         "op12_nearest_neighbours": nearest_neighbours,
         "op13_merkle_manifest": merkle_manifest,
     }
@@ -100,6 +106,8 @@ def oracle() -> dict[str, str]:
         "op7_line_dedup": sql.LINE_DEDUP,
         "op8_url_filter": sql.URL_FILTER,
         "op9_ngram_jaccard": sql.NGRAM_JACCARD,
+        "op11_phrase_mining": phrase_mining,
         "op12_nearest_neighbours": nearest_neighbours,
+        "op11_phrase_mining": sql.PHRASE_MINING,
         "op13_merkle_manifest": sql.MERKLE_MANIFEST,
     }
