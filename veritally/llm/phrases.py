@@ -18,8 +18,11 @@ only a single piece is never cut. Without frequent phrases there are no rows. Ot
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +49,12 @@ class Settings:
     longest: int = 5
     least: int = 100
     #: Words of a chunk, about; chunks whose tables one task merges; chunks that share a copy of a tile's new numbers.
-    chunk_words: int = 500_000
+    chunk_words: int = 1_000_000
     merged: int = 64
     told: int = 1024
-    #: Words of the corpus for each list of sparse pairs.
+    #: Words of the corpus for each list of sparse pairs, and for each task that merges tables.
     strip_words: int = 4_000_000
+    task_words: int = 1_000_000
 
 
 _CLASS = np.zeros(256, np.uint8)  # 1: space, 2: separator of pieces
@@ -102,7 +106,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
             spread[at] = codes
             yield pa.RecordBatch.from_arrays([
                 pa.array([(task << 33) + number]), pa.array([lang], pa.string()), pa.array([len(codes)]), pa.array([coded.dictionary.cast(pa.string())], pa.list_(pa.string())),
-                pa.array([counts], pa.list_(pa.int64())), pa.array([spread.tobytes()], pa.binary()),
+                pa.array([counts], pa.list_(pa.int64())), pa.array([_blob(spread, np.int32)], pa.binary()),
             ], names=["chunk", "lang", "n", "words", "counts", "codes"])
             number += 1
 
@@ -130,11 +134,24 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _blob(values: np.ndarray, kind) -> bytes:
-    return np.ascontiguousarray(values, kind).tobytes()
+    """Packed numbers: their size if compressed, else 0, and their bytes."""
+    raw = np.ascontiguousarray(values, kind).tobytes()
+    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 512 else struct.pack("<q", 0) + raw
 
 
 def _read(blob, kind) -> np.ndarray:
-    return np.frombuffer(blob.as_buffer(), kind)
+    packed = blob.as_buffer()
+    size = struct.unpack("<q", packed[:8])[0]
+    return np.frombuffer(pa.decompress(packed[8:], size, codec="zstd") if size else packed[8:], kind)
+
+
+def _sorted_blob(keys: np.ndarray) -> bytes:
+    """Packed ascending numbers, as differences."""
+    return _blob(np.diff(keys, prepend=0), np.int64)
+
+
+def _read_sorted(blob) -> np.ndarray:
+    return np.cumsum(_read(blob, np.int64))
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +171,8 @@ def word_table(cut: DataFrame, least: int) -> DataFrame:
 def first_state(cut: DataFrame, ranked: DataFrame) -> DataFrame:
     """State of the first round: where frequent words stand in each chunk.
 
-    A state has chunk, lang, steps (differences of places), ids and last (number of the phrase that starts there, of its last word).
+    A state has chunk, lang and, for places where a frequent phrase starts: linked (whether the one before starts a place
+    earlier), ids (numbers of the phrases; words have none of their own) and last (numbers of their last words).
     """
     places = cut.select("chunk", "lang", F.posexplode("words").alias("code", "phrase")).join(ranked.select("lang", "phrase", "place"), ["lang", "phrase"])
     known = places.groupBy("chunk").agg(F.collect_list("code").alias("code"), F.collect_list("place").alias("place"))
@@ -171,21 +189,26 @@ def first_state(cut: DataFrame, ranked: DataFrame) -> DataFrame:
     return cut.select("chunk", "lang", "codes").join(known, "chunk").mapInArrow(run, STATE)
 
 
-STATE = "chunk bigint, lang string, steps binary, ids binary, last binary"
+STATE = "chunk bigint, lang string, linked binary, ids binary, last binary"
 
 
 def _state(chunk, lang, places, ids, last) -> pa.RecordBatch:
-    """last None: the phrases are words."""
-    blobs = [_blob(np.diff(places, prepend=0), np.int32), _blob(ids, np.int64), b"" if last is None else _blob(last, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([lang.as_py()], pa.string()), *[pa.array([b], pa.binary()) for b in blobs]], names=["chunk", "lang", "steps", "ids", "last"])
+    """last None: the phrases are words. Only what has a neighbour can grow, and only whether it follows the one before matters."""
+    linked = np.diff(places, prepend=-2) == 1
+    useful = linked | np.append(linked[1:], False)
+    last = ids if last is None else last
+    blobs = [_blob(np.packbits(linked[useful]), np.uint8), b"" if last is ids else _blob(ids[useful], np.int64), _blob(last[useful], np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([lang.as_py()], pa.string()), *[pa.array([b], pa.binary()) for b in blobs]], names=["chunk", "lang", "linked", "ids", "last"])
 
 
-def _longer(steps, ids, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places where a phrase and the one a place later could make a longer one: place, pair, its last word."""
-    places, ids, last = np.cumsum(_read(steps, np.int32), dtype=np.int64), _read(ids, np.int64), _read(last, np.int32)
-    last = last if len(last) else ids
-    next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
-    return places[next_to], ids[next_to] << WORD_BITS | last[next_to + 1], last[next_to + 1]
+def _longer(linked, ids, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a phrase and the one a place later could make a longer one: place, pair, its last word."""
+    last = _read(last, np.int32).astype(np.int64)
+    ids = _read(ids, np.int64) if len(ids.as_buffer()) else last
+    linked = np.unpackbits(_read(linked, np.uint8), count=len(last)).astype(bool)
+    places = np.cumsum(np.where(linked, 1, 2))
+    head = np.flatnonzero(linked[1:])
+    return places[head], ids[head] << WORD_BITS | last[head + 1], last[head + 1]
 
 
 def _routes(keys: np.ndarray, strips: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +237,8 @@ def pairs(state: DataFrame, strips: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, lang, steps, ids, last in zip(*(batch.column(c) for c in ("chunk", "lang", "steps", "ids", "last"))):
-                _, found, _ = _longer(steps, ids, last)
+            for chunk, lang, linked, ids, last in zip(*(batch.column(c) for c in ("chunk", "lang", "linked", "ids", "last"))):
+                _, found, _ = _longer(linked, ids, last)
                 found, counts = _summed(found, np.ones(len(found), np.int64))
                 route, keys = _routes(found, strips)
                 order = np.argsort(route, kind="stable")
@@ -224,7 +247,7 @@ def pairs(state: DataFrame, strips: int) -> DataFrame:
                 parts = list(zip(starts, np.append(starts[1:], len(route))))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(parts), chunk.as_py())), pa.array([lang.as_py()] * len(parts), pa.string()), pa.array(route[starts]),
-                    pa.array([_blob(keys[a:b], np.int64 if route[a] < 0 else np.uint32) for a, b in parts], pa.binary()),
+                    pa.array([_sorted_blob(keys[a:b]) for a, b in parts], pa.binary()),
                     pa.array([_blob(counts[a:b], np.int64) for a, b in parts], pa.binary()),
                 ], names=["chunk", "lang", "route", "keys", "counts"])
 
@@ -244,9 +267,9 @@ class _Counts:
         counts = _read(counts, np.int64)
         if self.route >= 0:
             # Sums of whole numbers far below 2^53, so exact as doubles.
-            self.dense += np.bincount(_read(keys, np.uint32), counts, SIDE * SIDE).astype(np.int64)
+            self.dense += np.bincount(_read_sorted(keys), counts, SIDE * SIDE).astype(np.int64)
             return
-        self.lists.append((_read(keys, np.int64), counts))
+        self.lists.append((_read_sorted(keys), counts))
         self.pending += len(counts)
         if self.pending > 2 * PENDING + 2 * len(self.lists[0][0]):
             self._shrink()
@@ -264,8 +287,6 @@ class _Counts:
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Rows that follow each other with equal values, as (values, row by row), across batches."""
-    from itertools import groupby
-
     def rows() -> Iterator[dict]:
         for batch in batches:
             for row in zip(*batch.columns):
@@ -274,7 +295,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
     return groupby(rows(), key=lambda row: tuple(row[n].as_py() for n in names))
 
 
-def merged(tables: DataFrame, groups: int, settings: Settings) -> DataFrame:
+def merged(tables: DataFrame, groups: int, tasks: int, settings: Settings) -> DataFrame:
     """lang, route, key (the whole pair) and a of the frequent pairs; chunks' tables are merged so many at a time."""
     salted = tables.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(groups).cast("bigint"))).drop("chunk")
     while True:
@@ -289,21 +310,21 @@ def merged(tables: DataFrame, groups: int, settings: Settings) -> DataFrame:
                 keys, counts = total.table()
                 if last:
                     often = counts >= least
-                    keys, counts = whole_keys(route, keys[often].astype(np.int64)), counts[often]
+                    keys, counts = whole_keys(route, keys[often]), counts[often]
                     arrays, names = [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), route)), pa.array(keys), pa.array(counts)], ["lang", "route", "key", "a"]
                 else:
-                    blobs = [_blob(keys, np.int64 if route < 0 else np.uint32), _blob(counts, np.int64)]
+                    blobs = [_sorted_blob(keys), _blob(counts, np.int64)]
                     arrays, names = [pa.array([lang], pa.string()), pa.array([route]), *[pa.array([b], pa.binary()) for b in blobs], pa.array([salt])], ["lang", "route", "keys", "counts", "salt"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-        dealt = salted.repartition(*group).sortWithinPartitions(*group)
+        dealt = salted.repartition(tasks, *group).sortWithinPartitions(*group)
         if last:
             return dealt.mapInArrow(run, "lang string, route bigint, key bigint, a bigint")
         groups = -(-groups // settings.merged)
         salted = dealt.mapInArrow(run, "lang string, route bigint, keys binary, counts binary, salt bigint").withColumn("salt", F.pmod("salt", F.lit(groups).cast("bigint")))
 
 
-def told(tables: DataFrame, ranked: DataFrame, groups: int) -> DataFrame:
+def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int) -> DataFrame:
     """chunk, found, ids: the frequent pairs of each chunk and their new numbers, merged table by table."""
     tables = tables.select("lang", "route", F.pmod(F.xxhash64("chunk"), F.lit(groups).cast("bigint")).alias("salt"), "chunk", "keys", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("place"))
     each = ranked.select("lang", "route", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("salt"), F.lit(None).cast("bigint").alias("chunk"), F.lit(None).cast("binary").alias("keys"), "key", "place")
@@ -321,14 +342,14 @@ def told(tables: DataFrame, ranked: DataFrame, groups: int) -> DataFrame:
                     break
                 if keys is None:
                     keys, numbers = np.array(known, np.int64), np.array(places, np.int64)
-                mine = whole_keys(route, _read(row["keys"], np.int64 if route < 0 else np.uint32).astype(np.int64))
+                mine = whole_keys(route, _read_sorted(row["keys"]))
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 same = keys[at] == mine
                 if same.any():
                     blobs = [_blob(mine[same], np.int64), _blob(numbers[at[same]], np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array([row["chunk"].as_py()]), *[pa.array([b], pa.binary()) for b in blobs]], names=["chunk", "found", "ids"])
 
-    together = tables.unionByName(each).repartition(*group).sortWithinPartitions(*group, F.col("key").asc_nulls_last())
+    together = tables.unionByName(each).repartition(tasks, *group).sortWithinPartitions(*group, F.col("key").asc_nulls_last())
     return together.mapInArrow(run, "chunk bigint, found binary, ids binary")
 
 
@@ -338,24 +359,22 @@ def next_state(state: DataFrame, news: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, lang, steps, ids, last, found, new in zip(*(batch.column(c) for c in ("chunk", "lang", "steps", "ids", "last", "found", "new"))):
-                known, numbers = (np.frombuffer(b"".join(x.as_py()), np.int64) for x in (found, new))
+            for chunk, lang, linked, ids, last, found, new in zip(*(batch.column(c) for c in ("chunk", "lang", "linked", "ids", "last", "found", "new"))):
+                known, numbers = (np.concatenate([_read(part, np.int64) for part in x]) for x in (found, new))
                 order = np.argsort(known, kind="stable")
                 known, numbers = known[order], numbers[order]
-                places, keys, words = _longer(steps, ids, last)
+                places, keys, words = _longer(linked, ids, last)
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 same = known[at] == keys
                 yield _state(chunk, lang, places[same], numbers[at[same]], words[same])
 
-    return state.join(mine, "chunk").select("chunk", "lang", "steps", "ids", "last", "found", "new").mapInArrow(run, STATE)
+    return state.join(mine, "chunk").select("chunk", "lang", "linked", "ids", "last", "found", "new").mapInArrow(run, STATE)
 
 
 class _Folder:
     """Tables of one run in the folder that all executors share."""
 
     def __init__(self, spark: SparkSession) -> None:
-        import uuid
-
         self.spark, self.path = spark, f"{shared_dir(spark)}/phrases-{uuid.uuid4().hex}"
 
     def kept(self, name: str, df: DataFrame) -> DataFrame:
@@ -371,21 +390,21 @@ def counted(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     totals = kept(cut.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks")))
     sums = totals.agg(F.sum("n"), F.sum("chunks")).first()
     words, parts = sums[0] or 0, sums[1] or 0
-    strips = 1 + words // settings.strip_words
+    strips, tasks = 1 + words // settings.strip_words, 1 + words // settings.task_words
     ranked = word_table(cut, settings.least)
     names = ranked.select("lang", F.col("place").alias("id"), "phrase", "a")
     found = [names.withColumn("m", F.lit(1))]
     state = folder.kept("state-1", first_state(cut, ranked))
     for m in range(2, settings.longest + 1):
         tables = folder.kept(f"pairs-{m}", pairs(state, strips))
-        often = numbered(merged(tables, max(1, -(-parts // settings.merged)), settings), "lang", F.desc("a"), F.col("key"))
+        often = numbered(merged(tables, max(1, -(-parts // settings.merged)), tasks, settings), "lang", F.desc("a"), F.col("key"))
         head = found[-1].select("lang", F.col("id").alias("head"), F.col("phrase").alias("_head"))
         tail = names.select("lang", F.col("id").alias("tail"), F.col("phrase").alias("_tail"))
         cutting = often.select("lang", F.col("place").alias("id"), "a", F.shiftright("key", WORD_BITS).alias("head"), F.col("key").bitwiseAND((1 << WORD_BITS) - 1).alias("tail"))
         named = cutting.join(head, ["lang", "head"]).join(tail, ["lang", "tail"])
         found.append(kept(named.select("lang", "id", F.concat_ws(" ", "_head", "_tail").alias("phrase"), "a", F.lit(m).alias("m"))))
         if m < settings.longest:
-            state = folder.kept(f"state-{m}", next_state(state, told(tables, often, max(1, -(-parts // settings.told)))))
+            state = folder.kept(f"state-{m}", next_state(state, told(tables, often, max(1, -(-parts // settings.told)), tasks)))
     everything = found[0]
     for more in found[1:]:
         everything = everything.unionByName(more)
