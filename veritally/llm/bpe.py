@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from veritally.llm import text
 
-#: States of the transducer that a worker keeps before it starts anew.
+#: States of the transducer that a worker keeps before it starts anew (about a kilobyte each), and four times as many pairs of tokens.
 MOST_STATES = 200_000
 TWO_WHITE = re.compile(r"\s\s")
 ADDED = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -36,6 +36,47 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class Arcs:
+    """The arcs made so far, by state and byte, in one open-addressed table: where each leads and what it emits."""
+
+    ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, bits: int = 12) -> None:
+        self.bits, self.size = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.next = np.zeros(1 << bits, np.int32)
+        self.emits = np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key; of a key without an arc, an empty one."""
+        mask = len(self.keys) - 1
+        slots = (keys.astype(np.uint64) * self.ODD >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[slots]
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            slots[open_] = slots[open_] + 1 & mask
+            there = self.keys[slots[open_]]
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return slots
+
+    def add(self, key: int, following: int, emitted: int) -> None:
+        if 2 * (self.size + 1) > len(self.keys):
+            old, full = self, self.keys >= 0
+            keys, nexts, emits = old.keys[full], old.next[full], old.emits[full]
+            self.__init__(self.bits + 1)
+            for row in zip(keys.tolist(), nexts.tolist(), emits.tolist()):
+                self._put(*row)
+        self._put(key, following, emitted)
+
+    def _put(self, key: int, following: int, emitted: int) -> None:
+        mask = len(self.keys) - 1
+        slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
+        while self.keys[slot] >= 0:
+            slot = slot + 1 & mask
+        self.keys[slot], self.next[slot], self.emits[slot] = key, following, emitted
+        self.size += 1
+
+
 class Transducer:
     """Token ids of a byte string, read byte by byte."""
 
@@ -52,10 +93,8 @@ class Transducer:
         start = (((), None, b""),)
         self.states = [start]
         self.numbers = {start: 0}
-        self.next = np.full((1024, 32), -1, np.int32)  # by state and byte class; -1: not made yet
-        self.emits = np.zeros((1024, 32), np.int32)  # number of what an arc emits; 0: nothing
+        self.arcs = Arcs()  # by state and byte; their emissions are numbers of outputs, 0: nothing
         self.ends = np.full(1024, -1, np.int32)  # number of what a state emits at the end of a piece
-        self.classes = np.full(256, -1, np.int64)  # bytes get classes as they are met
         self.outputs: list[tuple[int, ...]] = [()]
         self.output_numbers: dict[tuple[int, ...], int] = {(): 0}
 
@@ -65,17 +104,6 @@ class Transducer:
             self.outputs.append(tokens)
         return number
 
-    def _room(self) -> None:
-        """Double the tables where the states or the byte classes have outgrown them."""
-        while True:
-            rows, columns = self.next.shape
-            more = (rows if len(self.states) >= rows else 0, columns if self.classes.max() >= columns else 0)
-            if not any(more):
-                return
-            self.next = np.pad(self.next, [(0, more[0]), (0, more[1])], constant_values=-1)
-            self.emits = np.pad(self.emits, [(0, more[0]), (0, more[1])])
-            self.ends = np.pad(self.ends, (0, more[0]), constant_values=-1)
-
     def _spine(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
         """The parts that touch a token's right (or left) end while it is merged, largest first.
 
@@ -114,7 +142,7 @@ class Transducer:
         """
         known = self.pairs.get((last, token))
         if known is None:
-            if len(self.pairs) > 10 * MOST_STATES:
+            if len(self.pairs) > 4 * (self.most_states or MOST_STATES):
                 self.pairs.clear()
             right = self._spine(token, False)
             known = right[0][1] != 1 << 40  # a token that merges never make stands for whole pieces only
@@ -147,10 +175,9 @@ class Transducer:
         following = self.numbers.setdefault(state, len(self.states))
         if following == len(self.states):
             self.states.append(state)
-            self._room()
-        at = self.classes[byte]
-        self.next[number, at] = following
-        self.emits[number, at] = self._output(first[:common])
+            if following == len(self.ends):
+                self.ends = np.pad(self.ends, (0, following), constant_values=-1)
+        self.arcs.add(number << 8 | byte, following, self._output(first[:common]))
 
     def _end(self, number: int) -> None:
         """What a state still owes at the end: the tokens of the configuration that has just closed one."""
@@ -171,9 +198,6 @@ class Transducer:
         sizes = np.array([len(piece) for piece in pieces], np.int64)
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        for byte in np.flatnonzero(np.bincount(data, minlength=256) * (self.classes < 0)):
-            self.classes[byte] = self.classes.max() + 1
-        self._room()
         order = np.flatnonzero(whole < 0)
         order = order[np.argsort(-sizes[order], kind="stable")]
         sizes, starts = sizes[order], starts[order]
@@ -181,15 +205,14 @@ class Transducer:
         who, what = [], []
         for step in range(int(sizes[0]) if len(order) else 0):
             n = np.searchsorted(-sizes, -step)  # pieces with more than `step` bytes come first
-            bytes_ = data[starts[:n] + step]
-            at = self.classes[bytes_]
-            following = self.next[state[:n], at]
-            missing = np.flatnonzero(following < 0)
+            keys = state[:n] << 8 | data[starts[:n] + step]
+            slots = self.arcs.find(keys)
+            missing = np.flatnonzero(self.arcs.keys[slots] < 0)
             if len(missing):
-                for key in np.unique(state[missing] << 8 | bytes_[missing]).tolist():
+                for key in np.unique(keys[missing]).tolist():
                     self._arc(key >> 8, key & 255)
-                following[missing] = self.next[state[missing], at[missing]]
-            emitted = self.emits[state[:n], at]
+                slots = self.arcs.find(keys)
+            emitted, following = self.arcs.emits[slots], self.arcs.next[slots]
             speak = np.flatnonzero(emitted)
             who.append(order[speak])
             what.append(emitted[speak])
@@ -262,25 +285,44 @@ def _numbered(known: dict[str, int]) -> Callable[[str], int]:
     return number
 
 
+def utf8_table() -> np.ndarray:
+    """The state machine of UTF-8, (state, byte) to state: 0 between characters, 1 to 3 so many bytes to come.
+
+    4 to 7 are places after E0, ED, F0 and F4, where fewer second bytes are allowed; 8 is wrong.
+    """
+    table = np.full((9, 256), 8, np.uint8)
+    table[0, :0x80] = 0
+    for first, stop, state in ((0xC2, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0xF5, 3)):
+        table[0, first:stop] = state
+    for byte, state, first, stop, then in ((0xE0, 4, 0xA0, 0xC0, 1), (0xED, 5, 0x80, 0xA0, 1), (0xF0, 6, 0x90, 0xC0, 2), (0xF4, 7, 0x80, 0x90, 2)):
+        table[0, byte] = state
+        table[state, first:stop] = then
+    for state in (1, 2, 3):
+        table[state, 0x80:0xC0] = state - 1
+    return table
+
+
 class Utf8Stream:
     """Incremental UTF-8: bytes in, text out; an unfinished character waits for the next bytes.
 
-    The state is the unfinished character's bytes, three at most. Wrong bytes become U+FFFD.
+    The state is the machine's and the unfinished character's bytes, three at most. Characters do not
+    overlap, so the machine need only run from the last byte that can begin one: what lies before is
+    finished or wrong whatever follows. Wrong bytes become U+FFFD.
     """
 
+    TABLE = utf8_table()
+
     def __init__(self) -> None:
         self.waiting = b""
 
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """Bytes at the end that begin a character but do not complete it."""
+    def _unfinished(self, data: bytes) -> int:
+        """Bytes at the end in which the machine is on its way through a character."""
         for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte < 0x80:
-                return 0
-            if byte >= 0xC0:
-                need = 2 if 0xC2 <= byte <= 0xDF else 3 if 0xE0 <= byte <= 0xEF else 4 if 0xF0 <= byte <= 0xF4 else 1
-                return back if need > back else 0
+            if data[-back] & 0xC0 != 0x80:
+                state = 0
+                for byte in data[-back:]:
+                    state = self.TABLE[state, byte]
+                return back if 0 < state < 8 else 0
         return 0
 
     def feed(self, data: bytes) -> str:
@@ -339,8 +381,8 @@ def digests(docs: DataFrame, ranks_file: bytes, pattern: str, column: str = "tex
         ids_hex, back_hex = [], []
         for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             back = hashlib.sha256()
-            for part in decoder.parts(ids[start:stop]):
-                back.update(part)
+            for part in decoder.text(decoder.parts(ids[start:stop])):
+                back.update(part.encode())
             ids_hex.append(hashlib.sha256(ids[start:stop].astype("<u4").tobytes()).hexdigest())
             back_hex.append(back.hexdigest())
         return [pa.array(np.diff(offsets), pa.int64()), pa.array(ids_hex, pa.string()), pa.array(back_hex, pa.string())]
@@ -360,6 +402,25 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, column: str = "text
     return text.map_texts(docs, column, f"{ids} array<int>", step)
 
 
+def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, column: str = "text", ids: str = "ids", same: str = "round_trip") -> DataFrame:
+    """docs with the ids of each text and whether decoding them as a stream gives the text again; a null one counts as empty.
+
+    One pass: the machines are held once by a worker, and no decoded text leaves it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks_file)
+
+    def step(texts: pa.Array) -> list[pa.Array]:
+        encoder, decoder = _machines(shared.value, pattern)
+        values = texts.to_pylist()
+        offsets, flat = encoder.encode(values)
+        equal = []
+        for value, start, stop in zip(values, offsets[:-1].tolist(), offsets[1:].tolist()):
+            equal.append("".join(decoder.text(decoder.parts(flat[start:stop]))) == (value or ""))
+        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32))), pa.array(equal)]
+
+    return text.map_texts(docs, column, f"{ids} array<int>, {same} boolean", step)
+
+
 def decode(coded: DataFrame, ranks_file: bytes, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """coded with the text of each row's ids, decoded as a stream; null ids give the empty text."""
     shared = coded.sparkSession.sparkContext.broadcast(ranks_file)
