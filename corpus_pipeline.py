@@ -53,9 +53,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives its text again."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = bpe.decode(bpe.encode(docs.select(*DOCUMENT), ranks, public_tokenizers.PATTERN), ranks)
-    same = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same)
+    coded = bpe.round_trip(docs.select(*DOCUMENT), ranks, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
