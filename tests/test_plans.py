@@ -124,9 +124,10 @@ def _write(spark, store, run, tables, *rows):
 def test_store_shows_finished_runs_only(spark, tmp_path):
     """Incremental runs add months; what a run did not write whole stays as it was or out of sight."""
     store = ResultStore(spark, str(tmp_path / "store"))
-    first, second, third = store.new_run(), store.new_run(), store.new_run()
+    first = store.new_run()
     _write(spark, store, first, TABLES, ("2026-01", 1), ("2026-02", 2))
     store.finish(first)
+    second = store.new_run()
     _write(spark, store, second, TABLES[:2], ("2026-02", 3))
     assert sorted(map(tuple, store.read("daily").select("month", "n").collect())) == [("2026-01", 1), ("2026-02", 2)]
     _write(spark, store, second, TABLES[2:], ("2026-02", 3))
@@ -134,6 +135,7 @@ def test_store_shows_finished_runs_only(spark, tmp_path):
     expected = [("2026-01", 1), ("2026-02", 3)]
     assert sorted(map(tuple, store.read("daily").select("month", "n").collect())) == expected
     # A month half written is not finished, also where another month of the run is.
+    third = store.new_run()
     _write(spark, store, third, TABLES, ("2026-03", 4))
     _write(spark, store, third, TABLES[:1], ("2026-02", 9))
     assert [r.month for r in store.finish(third).collect()] == ["2026-03"]

@@ -106,7 +106,7 @@ def undocumented_codes(
 ) -> DataFrame:
     """counts (month, code, rows) against documented (code)."""
     unknown = (
-        counts.join(documented, code, "left_anti").groupBy("month")
+        counts.join(documented, code, "left_anti").withColumn(code, F.coalesce(F.nullif(F.col(code), F.lit("")), F.lit("(no code)"))).groupBy("month")
         .agg(F.sum("rows").alias("rows"), F.array_join(F.array_sort(F.collect_set(code)), ", ").alias("codes"))
     )
     judged = months.select("month").distinct().join(unknown, "month", "left")
@@ -118,20 +118,11 @@ def undocumented_codes(
     )
 
 
-def schema_drift(schemas: DataFrame, expected: list[tuple[str, str]], rule: str = "VAL-10") -> DataFrame:
-    """schemas (month, schema array<struct<name,type>>) against the expected one and the month before.
-
-    Names compare with case. The month before is the one before among those given.
-    """
+def differences(schema: Column, expected: list[tuple[str, str]]) -> Column:
+    """How a list of columns departs from the expected one, as texts. Names compare with case."""
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in expected])
-    previous = F.lag("schema").over(Window.orderBy("month"))
-    df = schemas.select(
-        "month", "schema", wanted.alias("wanted"), previous.alias("previous"),
-        F.map_from_entries(wanted).alias("types"),
-        F.transform("schema", lambda c: c["name"]).alias("names"),
-    )
-    names, types, schema = F.col("names"), F.col("types"), F.col("schema")
-    known = F.map_keys(types)
+    types = F.map_from_entries(wanted)
+    names, known = F.transform(schema, lambda c: c["name"]), F.map_keys(types)
     added = F.transform(F.array_except(names, known), lambda n: F.concat(n, F.lit(" is not documented")))
     gone = F.transform(F.array_except(known, names), lambda n: F.concat(n, F.lit(" is missing")))
     retyped = F.transform(
@@ -139,13 +130,25 @@ def schema_drift(schemas: DataFrame, expected: list[tuple[str, str]], rule: str
         lambda c: F.concat(c["name"], F.lit(" is "), c["type"], F.lit(", expected "), F.try_element_at(types, c["name"])),
     )
     listed = F.concat(added, gone, retyped)
-    against = F.when(
-        (schema != F.col("wanted")) & (F.size(listed) == 0), F.array(F.lit("the columns are in another order"))
-    ).otherwise(listed)
-    since = F.when(schema != F.col("previous"), F.array(F.lit("the schema changed from the month before"))).otherwise(
-        F.array().cast("array<string>")
-    )
-    judged = df.select("month", F.concat(against, since).alias("problems"))
+    order = F.array(F.lit("the columns are in another order"))
+    return F.when((schema != wanted) & (F.size(listed) == 0), order).otherwise(listed)
+
+
+def schema_drift(schemas: DataFrame, expected: list[tuple[str, str]], rule: str = "VAL-10") -> DataFrame:
+    """schemas (month, schema array<struct<name,type>>) against the expected one and the month before.
+
+    The month before is the one before among those given. Where a column `others` holds different lists of
+    columns of the month's other files, each is compared too.
+    """
+    none = F.array().cast("array<string>")
+    previous = F.lag("schema").over(Window.orderBy("month"))
+    df = schemas.withColumn("previous", previous)
+    since = F.when(F.col("schema") != F.col("previous"), F.array(F.lit("the schema changed from the month before"))).otherwise(none)
+    among = none
+    if "others" in schemas.columns:
+        each = F.transform("others", lambda s: F.concat(F.lit("other files: "), F.array_join(differences(s, expected), ", ")))
+        among = F.coalesce(each, none)
+    judged = df.select("month", F.concat(differences(F.col("schema"), expected), since, among).alias("problems"))
     count = F.size("problems")
     return verdicts(
         judged, rule, BOTH, F.when(count > 0, "fail").otherwise("pass"), count,

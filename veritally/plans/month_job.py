@@ -142,7 +142,8 @@ def company_trips(trips: DataFrame) -> DataFrame:
 def file_facts(trips: DataFrame, published: DataFrame, schemas: DataFrame) -> DataFrame:
     """A row per month: rows, rows by licence, trips by company, publication date and lag, schema.
 
-    published (month, published); schemas (month, schema). Months are those published.
+    published (month, published); schemas (month, schema) and what else is known of a month's files, which
+    is passed on. Months are those published.
     """
     counts = licence_counts(trips).withColumn("company", rideshare.company())
     pairs = counts.groupBy("month").agg(
@@ -156,7 +157,8 @@ def file_facts(trips: DataFrame, published: DataFrame, schemas: DataFrame) -> Da
     )
     lag = F.date_diff("published", clock.month_end(F.col("month")))
     return pairs.join(published, "month").join(schemas, "month", "left").select(
-        "month", "rows", "rows_by_license", "trips", "published", lag.alias("lag_days"), "schema"
+        "month", "rows", "rows_by_license", "trips", "published", lag.alias("lag_days"),
+        *[c for c in schemas.columns if c != "month"],
     )
 
 

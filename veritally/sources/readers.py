@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions import clock
+from veritally.sources import footers
 
 # Column names and types of the published CSV files.
 ZONES = "LocationID int, Borough string, Zone string, service_zone string"
@@ -23,14 +25,40 @@ INDICATOR_CLASS = "FHV - High Volume"
 INDICATORS_FROM = "2024-01"
 
 
-def read_trips(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
-    """Trip files under ``path/file_month=YYYY-MM/``, columns matched by name across months."""
-    # The month stays text: inference would read 2026-06 as a date.
-    trips = spark.read.option("mergeSchema", True).parquet(path)
-    trips = trips.withColumn("file_month", F.date_format("file_month", "yyyy-MM")) if (
-        dict(trips.dtypes)["file_month"] == "date"
-    ) else trips
-    return trips.where(F.col("file_month").isin(months)) if months is not None else trips
+def read_trips(
+    spark: SparkSession, path: str, declared: Sequence[tuple[str, str]], months: list[str] | None = None, found: DataFrame | None = None
+) -> DataFrame:
+    """Trip files under ``path/file_month=YYYY-MM/`` with the declared columns and types, and file_month.
+
+    Files with the same columns are one scan, with those columns as its schema, so nothing is inferred and the
+    types of one month cannot break another. Columns match by name, in any case; a missing one is null, another
+    type is cast (null where a value does not fit), undeclared ones are left out. With months, only
+    their files are opened. `found` is the footer scan, where there is one already.
+    """
+    found = footers.footers(spark, path, months) if found is None else found if months is None else found.where(F.col("file_month").isin(months))
+    # The driver lists files in any case, as Spark does for every scan; schemas are few.
+    groups = found.groupBy("schema").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    frames = [_same_columns(spark, path, declared, group["schema"], group["paths"]) for group in sorted(groups, key=lambda g: g["paths"])]
+    if not frames:
+        return spark.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in (*declared, ("file_month", "string"))))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _same_columns(spark: SparkSession, path: str, declared, schema, paths: list[str]) -> DataFrame:
+    """One scan of files with the same columns; the month's type is given too, so that 2026-06 stays text."""
+    own = {field["name"].lower(): field for field in schema}
+    there = [own[name.lower()] for name, _ in declared if name.lower() in own]
+    ddl = ", ".join(f"`{field['name']}` {field['type']}" for field in there)
+    rows = spark.read.schema(f"{ddl}{', ' * bool(ddl)}file_month string").option("basePath", path).parquet(*paths)
+    columns = []
+    for name, kind in declared:
+        field = own.get(name.lower())
+        if field is None:
+            columns.append(F.lit(None).cast(kind).alias(name))
+        else:
+            column = F.col(f"`{field['name']}`")
+            columns.append((column if field["type"] == kind else column.try_cast(kind)).alias(name))
+    return rows.select(*columns, "file_month")
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -52,25 +80,24 @@ def landed_files(trips: DataFrame) -> DataFrame:
     )
 
 
-def month_schemas(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
-    """Each month's own schema, from its files' footers, in file order."""
-    rows = []
-    for month in months:
-        schema = spark.read.parquet(f"{path}/file_month={month}").schema
-        rows.append((month, [(f.name, f.dataType.simpleString()) for f in schema.fields]))
-    return spark.createDataFrame(rows, "month string, schema array<struct<name:string,type:string>>")
-
-
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ZONES).csv(path, header=True)
 
 
-def read_aggregate(spark: SparkSession, path: str) -> DataFrame:
-    return aggregate_totals(spark.read.schema(AGGREGATE).csv(path, header=True))
+def read_aggregate(spark: SparkSession, path: str, first: str | None = None, bases: Sequence[str] | None = None) -> DataFrame:
+    return aggregate_totals(spark.read.schema(AGGREGATE).csv(path, header=True), first, bases)
+
 
+def aggregate_totals(aggregate: DataFrame, first: str | None = None, bases: Sequence[str] | None = None) -> DataFrame:
+    """(month, company, total): year and month padded, the company's name in title case.
 
-def aggregate_totals(aggregate: DataFrame) -> DataFrame:
-    """(month, company, total): year and month padded, the company's name in title case."""
+    `first` is the first month to take and `bases` the companies, by the upper-case names of the file; None takes all.
+    """
+    month = F.format_string("%d-%02d", "year", "month")
+    if first is not None:
+        aggregate = aggregate.where(month >= first)
+    if bases is not None:
+        aggregate = aggregate.where(F.upper("base_license_number").isin(list(bases)))
     return aggregate.select(
         F.format_string("%d-%02d", "year", "month").alias("month"),
         F.initcap("base_license_number").alias("company"),

@@ -1,9 +1,11 @@
 """Results by month, written whole or not at all.
 
-Every table lies under ``base/<table>/month=YYYY-MM/run=<id>/``. A run writes all its tables
-and then one row to ``base/finished`` for each month of which it wrote all that every month has;
-readers see the latest finished run of a month and nothing else, so a run lost half-way, or still
-going, is invisible. A month that goes gets a row without a run, and then its files are deleted.
+Every table lies under ``base/<table>/month=YYYY-MM/run=<id>/``. A run writes all its tables and
+then, for each month of which it wrote all that every month has, the marker of the month's next
+version, ``base/finished/month=YYYY-MM/v<number>``; readers see the run that the latest marker names and
+nothing else, so a run lost half-way, or still going, is invisible. Markers are created only where there is none:
+of two runs that began at the same version of a month, one wins and the other is refused. A month
+that goes gets a marker without a run, and then its files are deleted.
 """
 
 from __future__ import annotations
@@ -16,21 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARKER = "month string, run string"
-# Runs are named by the time they began, tombstones carry the time the month went.
-TOMBSTONE = "month string, run string, at string"
+# What a marker says of a month that is gone. An empty one was never completed and counts as absent.
+GONE = "-"
 TABLES = ("quality", "daily", "hourly", "zones", "facts", "examples")
 # A month may have no example, and no trip with a zone; the other tables have rows for every month.
 SPARSE = ("zones", "examples")
 
 
+class Conflict(RuntimeError):
+    """Another run has finished a month since this one began."""
+
+
 class ResultStore:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
         self._current: dict[str, str] | None = None
         self._tables: dict[tuple, DataFrame] = {}
+        self._seen: dict[str, dict[str, int]] = {}
 
     def new_run(self) -> str:
-        return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        """A run's id, by the time it begins; it may replace the versions of months that there are now."""
+        run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        self._seen[run] = {month: max(versions) for month, versions in self._versions().items()}
+        return run
 
     def write(self, table: str, df: DataFrame, run: str, order: tuple[str, ...] = ()) -> None:
         """Sorted zstd parquet, one file a month: results are small whatever the input."""
@@ -41,12 +51,53 @@ class ResultStore:
          .parquet(f"{self.base}/{table}"))
 
     def finish(self, run: str, tables: tuple[str, ...] = TABLES) -> DataFrame:
-        """Make visible the months of which this run wrote every table; the last thing a run writes."""
+        """Make visible the months of which this run wrote every table; the last thing a run writes.
+
+        Months that another run has finished meanwhile stay that run's, and are a Conflict at the end.
+        """
         written = [self._written(table, run) for table in tables if table not in SPARSE]
-        months = complete_months(written).withColumn("run", F.lit(run))
-        months.repartition(1).write.mode("append").parquet(f"{self.base}/finished")
+        months = sorted(row["month"] for row in complete_months(written).collect())
+        won = [month for month in months if self._mark(month, self._seen[run].get(month, 0) + 1, run)]
         self._current = None
-        return months.select("month")
+        if len(won) < len(months):
+            raise Conflict(f"run {run}: finished by another run meanwhile: {', '.join(sorted({*months} - {*won}))}")
+        return self.spark.createDataFrame([(month,) for month in won], "month string")
+
+    def _path(self, path: str):
+        """A path and its file system; both belong to the session's JVM."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _mark(self, month: str, version: int, text: str) -> bool:
+        """Create the marker of a month's version; False where there is one already."""
+        path, system = self._path(f"{self.base}/finished/month={month}/v{version:08d}")
+        if system.exists(path):
+            return False
+        try:
+            out = system.create(path, False)
+        except Exception as error:  # another run was faster
+            if "AlreadyExists" in str(error) or "already exists" in str(error):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _versions(self) -> dict[str, list[int]]:
+        """Versions of each month; a line for each time a month was finished."""
+        path, system = self._path(f"{self.base}/finished/month=*/v*")
+        out: dict[str, list[int]] = {}
+        for status in system.globStatus(path) or []:
+            out.setdefault(status.getPath().getParent().getName()[6:], []).append(int(status.getPath().getName()[1:]))
+        return out
+
+    def _marked(self, month: str, version: int) -> str:
+        path, system = self._path(f"{self.base}/finished/month={month}/v{version:08d}")
+        file = system.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
 
     def _written(self, table: str, run: str) -> DataFrame:
         """The months of a table that a run wrote, from its files' folders; none where it wrote nothing."""
@@ -57,17 +108,17 @@ class ResultStore:
         return found.filter(F.col("run") == run).select("month").distinct()
 
     def _exists(self, path: str) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        hadoop, system = self._path(path)
+        return system.exists(hadoop)
 
     def finished(self) -> dict[str, str]:
         """Month → its latest finished run. A line per month of the calendar, so the driver can hold it."""
         if self._current is None:
             self._current = {}
-            if self._exists(f"{self.base}/finished"):
-                rows = self.spark.read.schema(TOMBSTONE).parquet(f"{self.base}/finished")
-                latest = rows.groupBy("month").agg(F.max_by("run", F.coalesce("at", "run")).alias("run"))
-                self._current = {row["month"]: row["run"] for row in latest.where("run <> ''").collect()}
+            for month, versions in self._versions().items():
+                said = next(filter(None, (self._marked(month, v) for v in sorted(versions, reverse=True))), GONE)
+                if said != GONE:
+                    self._current[month] = said
         return self._current
 
     def months(self) -> DataFrame:
@@ -91,12 +142,13 @@ class ResultStore:
         return self._tables[key]
 
     def read_written(self, table: str) -> DataFrame:
-        """A table's rows of each month's latest run, whether the month is finished or not."""
+        """A table's rows of each month's finished run, and of the latest run where none has finished the month."""
         rows = self.spark.read.option("basePath", f"{self.base}/{table}").parquet(f"{self.base}/{table}")
         month = F.date_format("month", "yyyy-MM") if dict(rows.dtypes)["month"] == "date" else F.col("month")
         rows = rows.withColumn("month", month).withColumn("run", F.col("run").cast("string"))
-        latest = rows.groupBy("month").agg(F.max("run").alias("run"))
-        return rows.join(latest, ["month", "run"], "left_semi").drop("run")
+        done = self.spark.createDataFrame(sorted(self.finished().items()), "month string, finished string")
+        latest = rows.groupBy("month").agg(F.max("run").alias("latest")).join(done, "month", "left")
+        return rows.join(latest.select("month", F.coalesce("finished", "latest").alias("run")), ["month", "run"], "left_semi").drop("run")
 
     def publish(self, name: str, df: DataFrame) -> None:
         """Replace a small table that spans months. Readers take the latest one written whole."""
@@ -114,16 +166,16 @@ class ResultStore:
         """Delete months outside a window; nothing unless the window is confirmed."""
         if not confirmed or not stale:
             return []
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        conf = self.spark._jsc.hadoopConfiguration()
-        # Rows without a run come first: a month half deleted is then not visible.
-        gone = self.spark.createDataFrame([(m, "", self.new_run()) for m in stale], TOMBSTONE)
-        gone.repartition(1).write.mode("append").parquet(f"{self.base}/finished")
+        # Markers without a run come first: a month half deleted is then not visible.
+        versions = self._versions()
+        lost = [month for month in stale if not self._mark(month, max(versions.get(month, [0])) + 1, GONE)]
+        self._current = None
+        if lost:
+            raise Conflict(f"finished by another run meanwhile: {', '.join(lost)}")
         for table in TABLES:
             for month in stale:
-                path = fs_path(f"{self.base}/{table}/month={month}")
-                path.getFileSystem(conf).delete(path, True)
-        self._current = None
+                path, system = self._path(f"{self.base}/{table}/month={month}")
+                system.delete(path, True)
         return stale
 
 
@@ -136,5 +188,17 @@ def prefer(primary: DataFrame, cached: DataFrame) -> DataFrame:
     return primary.unionByName(cached.join(primary.select("month").distinct(), "month", "left_anti"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def documents(facts: DataFrame, examples: DataFrame) -> DataFrame:
+    """(month, document): one JSON text a month, its facts with the example records nested by rule and rank."""
+    listed = examples.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("rule", "rank", "company", F.col("day").cast("string").alias("day"), "record"))).alias("examples"))
+    whole = facts.join(listed, "month", "left").withColumn("examples", F.coalesce("examples", F.array().cast(listed.schema["examples"].dataType)))
+    return whole.select("month", F.to_json(F.struct(*whole.columns), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_documents(df: DataFrame, path: str) -> None:
+    """One file a month, in the month's folder."""
+    df.select("month", F.col("document").alias("value")).repartition("month").write.mode("overwrite").partitionBy("month").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema("value string, month string").option("basePath", path).text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
