@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,22 +75,49 @@ class Inputs:
         return month_job.file_facts(self.trips, published, trip_fixture.schemas(published.select("month"), rideshare.SCHEMA))
 
 
+_files: dict[tuple[str, str], str] = {}
 _landed: dict[tuple[str, str], ResultStore] = {}
 
 
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture as files by month, written once for a session and folder, with the columns `trip_fixture.schemas` lists.
+
+    So the first published month lacks the last column, one has two swapped, and one a retyped and an added one.
+    """
+    inputs = Inputs(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _files:
+        base = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+        trips = inputs.trips.select(*rideshare.COLUMNS, "file_month").checkpoint()
+        month = F.col("file_month")
+        first = trips.where(month != trip_fixture.NO_MONTH).agg(F.min("file_month")).first()[0]
+        names = list(rideshare.COLUMNS)
+        own = {
+            first: trips.select(*names[:-1], "file_month"),
+            "1997-03": trips.select(names[1], names[0], *names[2:], "file_month"),
+            "1998-05": trips.withColumn("trip_time", F.col("trip_time").cast("double")).withColumn("congestion_zone", F.lit(1)),
+        }
+        own = {m: df for m, df in own.items() if m is not None}
+        others = trips.where(~month.isin(list(own))).repartition("file_month", F.hour("pickup_datetime") % 2)
+        others.write.partitionBy("file_month").parquet(base)
+        for name, df in own.items():
+            df.where(month == name).drop("file_month").repartition(2).write.parquet(f"{base}/file_month={name}")
+        _files[key] = base
+    return _files[key]
+
+
 def results(spark: SparkSession, sf_dir: str) -> ResultStore:
     """The month job's results, run once for a session and folder: reports read what it wrote."""
     inputs = Inputs(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _landed:
-        name = f"{key[0]}-{abs(hash(sf_dir)) % 10**8}"
-        store = ResultStore(spark, f"{shared_dir(spark)}/results-{name}")
+        store = ResultStore(spark, f"{shared_dir(spark)}/results-{uuid.uuid4().hex}")
         published = inputs.published().checkpoint()
         schemas = trip_fixture.schemas(published.select("month"), rideshare.SCHEMA)
         month_job.run_months(inputs.trips, inputs.zones, published, schemas, store)
         # The published totals arrive as CSV files.
         for name, raw in trip_fixture.reference_files(month_job.company_trips(inputs.trips)).items():
-            raw.coalesce(1).write.csv(f"{store.base}/reference/{name}", header=True)
+            raw.repartition(1).write.csv(f"{store.base}/reference/{name}", header=True)
         aggregate = readers.read_aggregate(spark, f"{store.base}/reference/aggregate")
         indicators = readers.read_indicators(spark, f"{store.base}/reference/indicators", first="1990-01")
         cross_month.build(store, aggregate, indicators, inputs.causes)

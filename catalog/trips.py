@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.common import Inputs, Query, keyed, rounded
+from catalog.common import Inputs, Query, keyed, landed, results, rounded
 from oracle import trips as sql
 from oracle.base import query
 from oracle import reports as rsql
@@ -14,8 +16,8 @@ from veritally.operators import checks, files, volume
 from veritally.packs import rideshare
 from veritally.packs.rideshare import RIDESHARE
 from veritally.plans import cross_month, month_job, months
-from veritally.sources import readers, trip_fixture
-from veritally.sources.store import complete_months, prefer
+from veritally.sources import footers, readers, trip_fixture
+from veritally.sources.store import complete_months, documents, prefer, read_documents, write_documents
 
 TRIP_RULES = [r.id for r in RIDESHARE.rules if r.grain == "trip"]
 DAILY = ["day", "month", "company", "borough", *MEASURES]
@@ -84,10 +86,36 @@ def _facts(spark, d) -> DataFrame:
 
 
 def _landed(spark, d) -> DataFrame:
-    """Rows of each landed file; sizes and times vary from copy to copy."""
-    lineitem = Inputs(spark, d).table("lineitem").withColumn("file_month", F.date_format("l_shipdate", "yyyy-MM"))
-    landed = readers.landed_files(lineitem)
-    return landed.where((F.col("bytes") > 0) & F.col("last_modified").isNotNull()).select("month", "rows")
+    """Rows of the landed files by their footers, and whether listing and scan agree on their bytes."""
+    base = landed(spark, d)
+    scanned = readers.landed_files(spark.read.schema("file_month string").parquet(base)).select("month", F.col("bytes").alias("scanned"), F.col("rows").alias("read"))
+    found = footers.by_month(footers.footers(spark, base)).join(scanned, "month", "full")
+    return found.select("month", "rows", (F.col("rows") == F.col("read")).alias("same_rows"), (F.col("bytes") == F.col("scanned")).alias("same_bytes"))
+
+
+def _published_footers(spark, d) -> DataFrame:
+    found = footers.footers(spark, landed(spark, d))
+    return found.where(F.col("file_month") != trip_fixture.NO_MONTH)
+
+
+def _columns(spark, d) -> DataFrame:
+    """Each month's columns, in file order, from the footers."""
+    schemas = footers.month_schemas(_published_footers(spark, d))
+    return schemas.select("month", F.posexplode("schema").alias("at", "c")).select("month", (F.col("at") + 1).cast("bigint").alias("position"), "c.name", "c.type")
+
+
+def _landed_drift(spark, d) -> DataFrame:
+    return rounded(files.schema_drift(footers.month_schemas(_published_footers(spark, d)), list(rideshare.SCHEMA)))
+
+
+def _documents(spark, d) -> DataFrame:
+    """The months' JSON documents, written and read again."""
+    store = results(spark, d)
+    path = f"{store.base}/documents-{uuid.uuid4().hex}"
+    write_documents(documents(store.read("facts"), store.read("examples")), path)
+    read = read_documents(spark, path, "month string, rows bigint, lag_days int, examples array<struct<rule:string,rank:int,company:string,day:string,record:string>>")
+    rules = F.array_distinct(F.transform("examples", lambda e: e["rule"]))
+    return read.select("month", "rows", "lag_days", F.size("examples").cast("bigint").alias("examples"), F.size(rules).cast("bigint").alias("rules"))
 
 
 def _file_rule(rule: str) -> Query:
@@ -149,12 +177,11 @@ def _complete(spark, d) -> DataFrame:
 
 
 def _later_column(spark, d) -> DataFrame:
-    """Files from before and after a column was added, read as one."""
-    trips = Inputs(spark, d).trips
-    old = trips.where("file_month < '1998-01'").drop("cbd_congestion_fee")
-    both = readers.union_by_name([old, trips.where("file_month >= '1998-01'")])
-    return both.groupBy(F.col("file_month").alias("month")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("cbd_congestion_fee").alias("with_fee"), F.count_if(F.col("tips") > 0).alias("tipped")
+    """Landed files whose columns differ, read as one."""
+    trips = readers.read_trips(spark, landed(spark, d), rideshare.SCHEMA)
+    return trips.groupBy(F.col("file_month").alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("cbd_congestion_fee").alias("with_fee"), F.count_if(F.col("tips") > 0).alias("tipped"),
+        F.sum("trip_time").alias("seconds"), F.count("originating_base_num").alias("bases"),
     )
 
 
@@ -185,6 +212,9 @@ def queries() -> dict[str, Query]:
         "file_facts": _facts,
         "file_landed": _landed,
         "file_schema_evolution": _later_column,
+        "file_columns": _columns,
+        "file_drift": _landed_drift,
+        "file_documents": _documents,
         "reference_aggregate": lambda s, d: Inputs(s, d).aggregate(),
         "reference_indicators": lambda s, d: Inputs(s, d).indicators(),
         "volume_series": lambda s, d: _series(s, d),
@@ -232,10 +262,15 @@ def oracle() -> dict[str, str]:
               ORDER BY hvfhs_license_num DESC) AS trips,
             g.published::VARCHAR AS published, g.lag_days, len(s.fields)::INT AS columns
             FROM y_licences l JOIN y_lag g USING (month) JOIN y_schema s USING (month) GROUP BY l.month, g.published, g.lag_days, s.fields"""),
-        "file_landed": "SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS rows FROM lineitem GROUP BY ALL",
+        "file_landed": query("SELECT file_month AS month, count(*) AS rows, true AS same_rows, true AS same_bytes FROM x_raw GROUP BY ALL"),
         "file_schema_evolution": query("""SELECT file_month AS month, count(*) AS rows,
-            count(CASE WHEN file_month >= '1998-01' THEN cbd_congestion_fee END) AS with_fee,
-            count(*) FILTER (WHERE tips > 0) AS tipped FROM x_raw GROUP BY ALL"""),
+            count(CASE WHEN file_month <> (SELECT min(month) FROM y_published) THEN cbd_congestion_fee END) AS with_fee,
+            count(*) FILTER (WHERE tips > 0) AS tipped, sum(trip_time)::BIGINT AS seconds, count(originating_base_num) AS bases FROM x_raw GROUP BY ALL"""),
+        "file_columns": query("SELECT month, position, name, type FROM y_fields"),
+        "file_drift": query("SELECT rule, month, company, status, round(value, 6) AS value, detail FROM y_val_10"),
+        "file_documents": query("""SELECT l.month, l.rows, g.lag_days, coalesce(e.n, 0) AS examples, coalesce(e.rules, 0) AS rules
+            FROM (SELECT month, sum(rows)::BIGINT AS rows FROM y_licences GROUP BY month) l JOIN y_lag g USING (month)
+            LEFT JOIN (SELECT month, count(*) AS n, count(DISTINCT rule) AS rules FROM x_examples GROUP BY month) e USING (month)"""),
         "reference_aggregate": query("SELECT month, company, total::BIGINT AS total FROM y_aggregate"),
         "reference_indicators": query("SELECT month, total::BIGINT AS total FROM y_indicators"),
         "volume_series": query("SELECT * FROM y_volume"),

@@ -82,10 +82,11 @@ def revenue() -> str:
 SELECT 'ACC-02' AS rule, month, company,
   CASE WHEN abs(ours - theirs) > 0.005::DOUBLE * theirs THEN 'fail' ELSE 'pass' END AS status,
   round((ours - theirs) / nullif(theirs, 0), 6) AS value
-FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, coalesce(c_mktsegment, 'unknown') AS company, sum(coalesce(lines, 0))::BIGINT AS ours,
+FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'no order' ELSE strftime(o_orderdate, '%Y-%m') END AS month,
+        CASE WHEN o_orderkey IS NULL THEN 'no order' ELSE coalesce(c_mktsegment, 'unknown') END AS company, sum(coalesce(lines, 0))::BIGINT AS ours,
         sum(coalesce(round(o_totalprice * 100)::BIGINT, 0))::BIGINT AS theirs
-  FROM orders LEFT JOIN customer ON c_custkey = o_custkey
-  LEFT JOIN (SELECT l_orderkey, sum(round(l_extendedprice * 100)::BIGINT) AS lines FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
+  FROM orders FULL JOIN (SELECT l_orderkey, sum(round(l_extendedprice * 100)::BIGINT) AS lines FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
+  LEFT JOIN customer ON c_custkey = o_custkey
   GROUP BY ALL)"""
 
 

@@ -85,7 +85,7 @@ def trip_view(trips: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     trips = trips.where(F.col("hvfhs_license_num").isin(*COMPANIES))
     if zones is not None:
         # Before the derived columns, so that those end up in the projection that uses them.
-        trips = mark_known(trips, {"PULocationID": "pu_known", "DOLocationID": "do_known"}, zones, "LocationID")
+        trips = mark_known(trips, {"PULocationID": "pu_known", "DOLocationID": "do_known"}, zones, "LocationID", dimension=True)
     return trips.select(
         "*",
         company().alias("company"),
