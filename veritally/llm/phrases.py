@@ -1,7 +1,7 @@
 """Collocations: frequent phrases of up to five words, scored by how much oftener they stand together than apart.
 
 Texts are cut into chunks of bounded numbers of words, with a dictionary each; a chunk belongs to one language.
-Words are counted and the frequent ones numbered by rank of frequency. A place in a chunk then holds the
+Words are counted in lists dealt by a hash and the frequent ones numbered by rank of frequency. A place in a chunk then holds the
 number of its word, and phrases grow by one word a round: the phrase that starts at a place and the last word of
 the one that starts a place later make a pair of numbers. Pairs are counted by tiles of the plane of ranks: tiles
 of frequent phrases and words have a dense table that `bincount` adds to at the pair's own address; all other
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -52,7 +53,7 @@ class Settings:
     chunk_words: int = 1_000_000
     merged: int = 64
     told: int = 1024
-    #: Words of the corpus for each list of sparse pairs, and for each task that merges tables.
+    #: Words of the corpus for each list of words or of sparse pairs, and for each task that merges tables.
     strip_words: int = 4_000_000
     task_words: int = 1_000_000
 
@@ -162,31 +163,49 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
-def word_table(cut: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, a and place (rank of frequency) of frequent words."""
-    each = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c"))
-    return numbered(each.groupBy("lang", "phrase").agg(F.sum("c").alias("a")).filter(F.col("a") >= least), "lang", F.desc("a"), F.col("phrase")).drop("total")
+def word_tables(cut: DataFrame, strips: int) -> DataFrame:
+    """What each chunk adds to each list of words: chunk, lang, route, keys (its words there), codes, counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, words, counts in zip(*(batch.column(c) for c in ("chunk", "lang", "words", "counts"))):
+                words, counts = words.values, counts.values.to_numpy()
+                route = np.fromiter((zlib.crc32(w.encode()) % strips for w in words.to_pylist()), np.int64, len(words))
+                order = np.argsort(route, kind="stable")
+                starts = np.flatnonzero(np.diff(route[order], prepend=-1))
+                stops = np.append(starts[1:], len(order))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), words.take(pa.array(order)).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(starts), chunk.as_py())), pa.array([lang.as_py()] * len(starts), pa.string()), pa.array(route[order][starts]), keys,
+                    pa.array([_blob(order[x:y], np.int64) for x, y in zip(starts, stops)], pa.binary()),
+                    pa.array([_blob(counts[order[x:y]], np.int64) for x, y in zip(starts, stops)], pa.binary()),
+                ], names=["chunk", "lang", "route", "keys", "codes", "counts"])
 
-def first_state(cut: DataFrame, ranked: DataFrame) -> DataFrame:
-    """State of the first round: where frequent words stand in each chunk.
+    return cut.select("chunk", "lang", "words", "counts").mapInArrow(run, "chunk bigint, lang string, route bigint, keys array<string>, codes binary, counts binary")
+
+
+def first_state(cut: DataFrame, news: DataFrame) -> DataFrame:
+    """State of the first round: where frequent words stand in each chunk, from what each was told.
 
     A state has chunk, lang and, for places where a frequent phrase starts: linked (whether the one before starts a place
     earlier), ids (numbers of the phrases; words have none of their own) and last (numbers of their last words).
     """
-    places = cut.select("chunk", "lang", F.posexplode("words").alias("code", "phrase")).join(ranked.select("lang", "phrase", "place"), ["lang", "phrase"])
-    known = places.groupBy("chunk").agg(F.collect_list("code").alias("code"), F.collect_list("place").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, lang, blob, code, place in zip(*batch.columns):
+            for chunk, lang, blob, found, new in zip(*(batch.column(c) for c in ("chunk", "lang", "codes", "found", "new"))):
                 codes = _read(blob, np.int32)
+                known, numbers = (np.concatenate([_read(part, np.int64) for part in x]) for x in (found, new))
                 ranks = np.full(codes.max() + 2, -1, np.int64)  # the last is for -1, between pieces
-                ranks[code.values.to_numpy()] = place.values.to_numpy()
-                found = ranks[codes]
-                yield _state(chunk, lang, np.flatnonzero(found >= 0), found[found >= 0], None)
+                ranks[known] = numbers
+                here = ranks[codes]
+                yield _state(chunk, lang, np.flatnonzero(here >= 0), here[here >= 0], None)
 
-    return cut.select("chunk", "lang", "codes").join(known, "chunk").mapInArrow(run, STATE)
+    return cut.select("chunk", "lang", "codes").join(_by_chunk(news), "chunk").select("chunk", "lang", "codes", "found", "new").mapInArrow(run, STATE)
+
+
+def _by_chunk(news: DataFrame) -> DataFrame:
+    return news.groupBy("chunk").agg(F.collect_list("found").alias("found"), F.collect_list("ids").alias("new"))
 
 
 STATE = "chunk bigint, lang string, linked binary, ids binary, last binary"
@@ -254,9 +273,44 @@ def pairs(state: DataFrame, strips: int) -> DataFrame:
     return state.mapInArrow(run, TABLE)
 
 
-class _Counts:
+class _WordCounts:
+    """The words of one list as parts of it arrive."""
+
+    KEYS, KEY = "array<string>", "string"
+
+    def __init__(self, route: int) -> None:
+        self.words, self.counts = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.parts: list[tuple[pa.Array, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, keys, counts) -> None:
+        self.parts.append((keys.values, _read(counts, np.int64)))
+        self.pending += len(keys.values)
+        if self.pending > PENDING + len(self.words):
+            self._shrink()
+
+    def _shrink(self) -> None:
+        coded = pa.concat_arrays([self.words, *(words for words, _ in self.parts)]).dictionary_encode()
+        counts = np.concatenate([self.counts, *(counts for _, counts in self.parts)])
+        self.words = coded.dictionary
+        # Sums of whole numbers far below 2^53, so exact as doubles.
+        self.counts = np.bincount(coded.indices.to_numpy(), counts, len(self.words)).astype(np.int64)
+        self.parts, self.pending = [], 0
+
+    def packed(self) -> tuple[pa.Array, bytes]:
+        self._shrink()
+        return pa.array([self.words], pa.list_(pa.string())), _blob(self.counts, np.int64)
+
+    def frequent(self, least: int) -> tuple[pa.Array, np.ndarray]:
+        self._shrink()
+        return self.words.filter(pa.array(self.counts >= least)), self.counts[self.counts >= least]
+
+
+class _PairCounts:
     """The table of one route as parts of it arrive."""
 
+    KEYS, KEY = "binary", "bigint"
+
     def __init__(self, route: int) -> None:
         self.route = route
         self.dense = np.zeros(SIDE * SIDE if route >= 0 else 0, np.int64)
@@ -278,12 +332,20 @@ class _Counts:
         self.lists = [_summed(*map(np.concatenate, zip(*self.lists)))]
         self.pending = len(self.lists[0][0])
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
         if self.route >= 0:
             return np.flatnonzero(self.dense), self.dense[self.dense > 0]
         self._shrink()
         return self.lists[0]
 
+    def packed(self) -> tuple[pa.Array, bytes]:
+        keys, counts = self._table()
+        return pa.array([_sorted_blob(keys)], pa.binary()), _blob(counts, np.int64)
+
+    def frequent(self, least: int) -> tuple[pa.Array, np.ndarray]:
+        keys, counts = self._table()
+        return pa.array(whole_keys(self.route, keys[counts >= least])), counts[counts >= least]
+
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Rows that follow each other with equal values, as (values, row by row), across batches."""
@@ -295,39 +357,41 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
     return groupby(rows(), key=lambda row: tuple(row[n].as_py() for n in names))
 
 
-def merged(tables: DataFrame, groups: int, tasks: int, settings: Settings) -> DataFrame:
-    """lang, route, key (the whole pair) and a of the frequent pairs; chunks' tables are merged so many at a time."""
-    salted = tables.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(groups).cast("bigint"))).drop("chunk")
+def merged(tables: DataFrame, groups: int, tasks: int, settings: Settings, kind: type) -> DataFrame:
+    """lang, route, key (the word or the whole pair) and a of what is frequent; chunks' tables are merged so many at a time."""
+    salt = F.pmod(F.xxhash64("chunk"), F.lit(groups).cast("bigint")).alias("salt")
+    salted = tables.select("lang", "route", salt, "keys", "counts")
     while True:
         last, group = groups == 1, ("lang", "route", "salt")
         least = settings.least
 
         def run(batches: Iterator[pa.RecordBatch], last=last, group=group) -> Iterator[pa.RecordBatch]:
             for (lang, route, salt), rows in _runs(batches, group):
-                total = _Counts(route)
+                total = kind(route)
                 for row in rows:
                     total.add(row["keys"], row["counts"])
-                keys, counts = total.table()
                 if last:
-                    often = counts >= least
-                    keys, counts = whole_keys(route, keys[often]), counts[often]
-                    arrays, names = [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), route)), pa.array(keys), pa.array(counts)], ["lang", "route", "key", "a"]
+                    keys, counts = total.frequent(least)
+                    arrays, names = [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), route)), keys, pa.array(counts)], ["lang", "route", "key", "a"]
                 else:
-                    blobs = [_sorted_blob(keys), _blob(counts, np.int64)]
-                    arrays, names = [pa.array([lang], pa.string()), pa.array([route]), *[pa.array([b], pa.binary()) for b in blobs], pa.array([salt])], ["lang", "route", "keys", "counts", "salt"]
+                    keys, counts = total.packed()
+                    arrays, names = [pa.array([lang], pa.string()), pa.array([route]), pa.array([salt]), keys, pa.array([counts], pa.binary())], ["lang", "route", "salt", "keys", "counts"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
         dealt = salted.repartition(tasks, *group).sortWithinPartitions(*group)
         if last:
-            return dealt.mapInArrow(run, "lang string, route bigint, key bigint, a bigint")
+            return dealt.mapInArrow(run, f"lang string, route bigint, key {kind.KEY}, a bigint")
         groups = -(-groups // settings.merged)
-        salted = dealt.mapInArrow(run, "lang string, route bigint, keys binary, counts binary, salt bigint").withColumn("salt", F.pmod("salt", F.lit(groups).cast("bigint")))
+        salted = dealt.mapInArrow(run, f"lang string, route bigint, salt bigint, keys {kind.KEYS}, counts binary").withColumn("salt", F.pmod("salt", F.lit(groups).cast("bigint")))
 
 
-def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int) -> DataFrame:
-    """chunk, found, ids: the frequent pairs of each chunk and their new numbers, merged table by table."""
-    tables = tables.select("lang", "route", F.pmod(F.xxhash64("chunk"), F.lit(groups).cast("bigint")).alias("salt"), "chunk", "keys", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("place"))
-    each = ranked.select("lang", "route", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("salt"), F.lit(None).cast("bigint").alias("chunk"), F.lit(None).cast("binary").alias("keys"), "key", "place")
+def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int, kind: type) -> DataFrame:
+    """chunk, found, ids: what is frequent in each chunk (codes of words, whole pairs) and its new numbers, merged table by table."""
+    nothing = lambda ddl, name: F.lit(None).cast(ddl).alias(name)
+    salt = F.pmod(F.xxhash64("chunk"), F.lit(groups).cast("bigint")).alias("salt")
+    codes = "codes" if "codes" in tables.columns else nothing("binary", "codes")
+    tables = tables.select("lang", "route", salt, "chunk", "keys", codes, nothing(kind.KEY, "key"), nothing("bigint", "place"))
+    each = ranked.select("lang", "route", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("salt"), nothing("bigint", "chunk"), nothing(kind.KEYS, "keys"), nothing("binary", "codes"), "key", "place")
     group = ("lang", "route", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +405,15 @@ def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int) -> DataF
                 if not known:
                     break
                 if keys is None:
-                    keys, numbers = np.array(known, np.int64), np.array(places, np.int64)
-                mine = whole_keys(route, _read_sorted(row["keys"]))
-                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                same = keys[at] == mine
-                if same.any():
-                    blobs = [_blob(mine[same], np.int64), _blob(numbers[at[same]], np.int64)]
+                    keys, numbers = pa.array(known), np.array(places, np.int64)
+                if kind is _WordCounts:
+                    mine, theirs = _read(row["codes"], np.int64), row["keys"].values
+                else:
+                    mine = whole_keys(route, _read_sorted(row["keys"]))
+                    theirs = pa.array(mine)
+                at = pc.fill_null(pc.index_in(theirs, keys), -1).to_numpy(zero_copy_only=False)
+                if (at >= 0).any():
+                    blobs = [_blob(mine[at >= 0], np.int64), _blob(numbers[at[at >= 0]], np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array([row["chunk"].as_py()]), *[pa.array([b], pa.binary()) for b in blobs]], names=["chunk", "found", "ids"])
 
     together = tables.unionByName(each).repartition(tasks, *group).sortWithinPartitions(*group, F.col("key").asc_nulls_last())
@@ -355,8 +422,6 @@ def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int) -> DataF
 
 def next_state(state: DataFrame, news: DataFrame) -> DataFrame:
     """The state of phrases one word longer, from what each chunk was told."""
-    mine = news.groupBy("chunk").agg(F.collect_list("found").alias("found"), F.collect_list("ids").alias("new"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, lang, linked, ids, last, found, new in zip(*(batch.column(c) for c in ("chunk", "lang", "linked", "ids", "last", "found", "new"))):
@@ -368,7 +433,7 @@ def next_state(state: DataFrame, news: DataFrame) -> DataFrame:
                 same = known[at] == keys
                 yield _state(chunk, lang, places[same], numbers[at[same]], words[same])
 
-    return state.join(mine, "chunk").select("chunk", "lang", "linked", "ids", "last", "found", "new").mapInArrow(run, STATE)
+    return state.join(_by_chunk(news), "chunk").select("chunk", "lang", "linked", "ids", "last", "found", "new").mapInArrow(run, STATE)
 
 
 class _Folder:
@@ -391,20 +456,22 @@ def counted(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     sums = totals.agg(F.sum("n"), F.sum("chunks")).first()
     words, parts = sums[0] or 0, sums[1] or 0
     strips, tasks = 1 + words // settings.strip_words, 1 + words // settings.task_words
-    ranked = word_table(cut, settings.least)
-    names = ranked.select("lang", F.col("place").alias("id"), "phrase", "a")
+    merging, telling = max(1, -(-parts // settings.merged)), max(1, -(-parts // settings.told))
+    tables = word_tables(cut, strips)
+    ranked = numbered(merged(tables, merging, tasks, settings, _WordCounts), "lang", F.desc("a"), F.col("key"))
+    names = ranked.select("lang", F.col("place").alias("id"), F.col("key").alias("phrase"), "a")
     found = [names.withColumn("m", F.lit(1))]
-    state = folder.kept("state-1", first_state(cut, ranked))
+    state = folder.kept("state-1", first_state(cut, told(tables, ranked, telling, tasks, _WordCounts)))
     for m in range(2, settings.longest + 1):
         tables = folder.kept(f"pairs-{m}", pairs(state, strips))
-        often = numbered(merged(tables, max(1, -(-parts // settings.merged)), tasks, settings), "lang", F.desc("a"), F.col("key"))
+        often = numbered(merged(tables, merging, tasks, settings, _PairCounts), "lang", F.desc("a"), F.col("key"))
         head = found[-1].select("lang", F.col("id").alias("head"), F.col("phrase").alias("_head"))
         tail = names.select("lang", F.col("id").alias("tail"), F.col("phrase").alias("_tail"))
         cutting = often.select("lang", F.col("place").alias("id"), "a", F.shiftright("key", WORD_BITS).alias("head"), F.col("key").bitwiseAND((1 << WORD_BITS) - 1).alias("tail"))
         named = cutting.join(head, ["lang", "head"]).join(tail, ["lang", "tail"])
         found.append(kept(named.select("lang", "id", F.concat_ws(" ", "_head", "_tail").alias("phrase"), "a", F.lit(m).alias("m"))))
         if m < settings.longest:
-            state = folder.kept(f"state-{m}", next_state(state, told(tables, often, max(1, -(-parts // settings.told)), tasks)))
+            state = folder.kept(f"state-{m}", next_state(state, told(tables, often, telling, tasks, _PairCounts)))
     everything = found[0]
     for more in found[1:]:
         everything = everything.unionByName(more)
