@@ -14,6 +14,7 @@ Null text counts as empty: no ids, the digest of no bytes. Any text is accepted.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -405,12 +406,17 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, column: str = "text
 def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, column: str = "text", ids: str = "ids", same: str = "round_trip") -> DataFrame:
     """docs with the ids of each text and whether decoding them as a stream gives the text again; a null one counts as empty.
 
-    One pass: the machines are held once by a worker, and no decoded text leaves it.
+    One pass: the machines are held once by a task, which drops them at its end, as the worker goes on
+    to other stages; and no decoded text leaves it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks_file)
+    held: list[Encoder | Decoder] = []  # each task has a copy of its own
 
     def step(texts: pa.Array) -> list[pa.Array]:
-        encoder, decoder = _machines(shared.value, pattern)
+        if not held:
+            ranks = parse_ranks(shared.value)
+            held.extend((Encoder(ranks, pattern), Decoder(ranks)))
+        encoder, decoder = held
         values = texts.to_pylist()
         offsets, flat = encoder.encode(values)
         equal = []
@@ -418,7 +424,11 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, column: str = "
             equal.append("".join(decoder.text(decoder.parts(flat[start:stop]))) == (value or ""))
         return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32))), pa.array(equal)]
 
-    return text.map_texts(docs, column, f"{ids} array<int>, {same} boolean", step)
+    def end() -> None:
+        held.clear()
+        gc.collect()
+
+    return text.map_texts(docs, column, f"{ids} array<int>, {same} boolean", step, end=end)
 
 
 def decode(coded: DataFrame, ranks_file: bytes, ids: str = "ids", column: str = "decoded") -> DataFrame:

@@ -78,8 +78,8 @@ def wider(df: DataFrame, added: str) -> StructType:
     return StructType(df.schema.fields + StructType.fromDDL(added).fields)
 
 
-def map_texts(df: DataFrame, column: str, added: str, step: Callable[[pa.Array], list[pa.Array]], most: int = STEP_BYTES) -> DataFrame:
-    """df with columns that `step` computes from the texts; `added` is their DDL. `most` bytes at a time.
+def map_texts(df: DataFrame, column: str, added: str, step: Callable[[pa.Array], list[pa.Array]], most: int = STEP_BYTES, end: Callable[[], None] = lambda: None) -> DataFrame:
+    """df with columns that `step` computes from the texts; `added` is their DDL. `most` bytes at a time; `end` ends a task.
 
     Columns of df with a clashing name are replaced. No shuffle: a lost task is computed again
     from its input alone.
@@ -88,8 +88,11 @@ def map_texts(df: DataFrame, column: str, added: str, step: Callable[[pa.Array],
     kept = df.drop(*fields.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, column, most):
-            arrays = step(batch.column(column))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *fields.fieldNames()])
+        try:
+            for batch in pieces(batches, column, most):
+                arrays = step(batch.column(column))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *fields.fieldNames()])
+        finally:
+            end()
 
     return kept.mapInArrow(run, wider(kept, added))
