@@ -134,16 +134,33 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(lang.alias("lang"), "text").mapInArrow(run, schema)
 
 
-def _blob(values: np.ndarray, kind) -> bytes:
-    """Packed numbers: their size if compressed, else 0, and their bytes."""
-    raw = np.ascontiguousarray(values, kind).tobytes()
+def _packed(raw: bytes) -> bytes:
+    """The size if compressed, else 0, and the bytes."""
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 512 else struct.pack("<q", 0) + raw
 
 
-def _read(blob, kind) -> np.ndarray:
+def _unpacked(blob) -> pa.Buffer:
     packed = blob.as_buffer()
     size = struct.unpack("<q", packed[:8])[0]
-    return np.frombuffer(pa.decompress(packed[8:], size, codec="zstd") if size else packed[8:], kind)
+    return pa.decompress(packed[8:], size, codec="zstd") if size else packed[8:]
+
+
+def _blob(values: np.ndarray, kind) -> bytes:
+    """Packed numbers."""
+    return _packed(np.ascontiguousarray(values, kind).tobytes())
+
+
+def _read(blob, kind) -> np.ndarray:
+    return np.frombuffer(_unpacked(blob), kind)
+
+
+def _word_blob(words: list[str]) -> bytes:
+    """Packed words; none holds a space."""
+    return _packed(" ".join(words).encode())
+
+
+def _read_words(blob) -> pa.Array:
+    return pa.array(_unpacked(blob).to_pybytes().decode().split(" "), pa.string())
 
 
 def _sorted_blob(keys: np.ndarray) -> bytes:
@@ -169,19 +186,19 @@ def word_tables(cut: DataFrame, strips: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, lang, words, counts in zip(*(batch.column(c) for c in ("chunk", "lang", "words", "counts"))):
-                words, counts = words.values, counts.values.to_numpy()
-                route = np.fromiter((zlib.crc32(w.encode()) % strips for w in words.to_pylist()), np.int64, len(words))
+                words, counts = words.as_py(), counts.values.to_numpy()
+                route = np.fromiter((zlib.crc32(w.encode()) % strips for w in words), np.int64, len(words))
                 order = np.argsort(route, kind="stable")
                 starts = np.flatnonzero(np.diff(route[order], prepend=-1))
                 stops = np.append(starts[1:], len(order))
-                keys = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), words.take(pa.array(order)).cast(pa.string()))
+                keys = pa.array([_word_blob([words[i] for i in order[x:y].tolist()]) for x, y in zip(starts, stops)], pa.binary())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(starts), chunk.as_py())), pa.array([lang.as_py()] * len(starts), pa.string()), pa.array(route[order][starts]), keys,
                     pa.array([_blob(order[x:y], np.int64) for x, y in zip(starts, stops)], pa.binary()),
                     pa.array([_blob(counts[order[x:y]], np.int64) for x, y in zip(starts, stops)], pa.binary()),
                 ], names=["chunk", "lang", "route", "keys", "codes", "counts"])
 
-    return cut.select("chunk", "lang", "words", "counts").mapInArrow(run, "chunk bigint, lang string, route bigint, keys array<string>, codes binary, counts binary")
+    return cut.select("chunk", "lang", "words", "counts").mapInArrow(run, "chunk bigint, lang string, route bigint, keys binary, codes binary, counts binary")
 
 
 def first_state(cut: DataFrame, news: DataFrame) -> DataFrame:
@@ -276,7 +293,7 @@ def pairs(state: DataFrame, strips: int) -> DataFrame:
 class _WordCounts:
     """The words of one list as parts of it arrive."""
 
-    KEYS, KEY = "array<string>", "string"
+    KEY = "string"
 
     def __init__(self, route: int) -> None:
         self.words, self.counts = pa.array([], pa.string()), np.zeros(0, np.int64)
@@ -284,8 +301,8 @@ class _WordCounts:
         self.pending = 0
 
     def add(self, keys, counts) -> None:
-        self.parts.append((keys.values, _read(counts, np.int64)))
-        self.pending += len(keys.values)
+        self.parts.append((_read_words(keys), _read(counts, np.int64)))
+        self.pending += len(self.parts[-1][0])
         if self.pending > PENDING + len(self.words):
             self._shrink()
 
@@ -299,7 +316,7 @@ class _WordCounts:
 
     def packed(self) -> tuple[pa.Array, bytes]:
         self._shrink()
-        return pa.array([self.words], pa.list_(pa.string())), _blob(self.counts, np.int64)
+        return pa.array([_word_blob(self.words.to_pylist())], pa.binary()), _blob(self.counts, np.int64)
 
     def frequent(self, least: int) -> tuple[pa.Array, np.ndarray]:
         self._shrink()
@@ -309,7 +326,7 @@ class _WordCounts:
 class _PairCounts:
     """The table of one route as parts of it arrive."""
 
-    KEYS, KEY = "binary", "bigint"
+    KEY = "bigint"
 
     def __init__(self, route: int) -> None:
         self.route = route
@@ -382,7 +399,7 @@ def merged(tables: DataFrame, groups: int, tasks: int, settings: Settings, kind:
         if last:
             return dealt.mapInArrow(run, f"lang string, route bigint, key {kind.KEY}, a bigint")
         groups = -(-groups // settings.merged)
-        salted = dealt.mapInArrow(run, f"lang string, route bigint, salt bigint, keys {kind.KEYS}, counts binary").withColumn("salt", F.pmod("salt", F.lit(groups).cast("bigint")))
+        salted = dealt.mapInArrow(run, f"lang string, route bigint, salt bigint, keys binary, counts binary").withColumn("salt", F.pmod("salt", F.lit(groups).cast("bigint")))
 
 
 def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int, kind: type) -> DataFrame:
@@ -391,7 +408,7 @@ def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int, kind: ty
     salt = F.pmod(F.xxhash64("chunk"), F.lit(groups).cast("bigint")).alias("salt")
     codes = "codes" if "codes" in tables.columns else nothing("binary", "codes")
     tables = tables.select("lang", "route", salt, "chunk", "keys", codes, nothing(kind.KEY, "key"), nothing("bigint", "place"))
-    each = ranked.select("lang", "route", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("salt"), nothing("bigint", "chunk"), nothing(kind.KEYS, "keys"), nothing("binary", "codes"), "key", "place")
+    each = ranked.select("lang", "route", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("salt"), nothing("bigint", "chunk"), nothing("binary", "keys"), nothing("binary", "codes"), "key", "place")
     group = ("lang", "route", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +424,7 @@ def told(tables: DataFrame, ranked: DataFrame, groups: int, tasks: int, kind: ty
                 if keys is None:
                     keys, numbers = pa.array(known), np.array(places, np.int64)
                 if kind is _WordCounts:
-                    mine, theirs = _read(row["codes"], np.int64), row["keys"].values
+                    mine, theirs = _read(row["codes"], np.int64), _read_words(row["keys"])
                 else:
                     mine = whole_keys(route, _read_sorted(row["keys"]))
                     theirs = pa.array(mine)
