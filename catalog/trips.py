@@ -238,8 +238,8 @@ def oracle() -> dict[str, str]:
     out = {f"rule_{r.replace('-', '_')}": query(sql.rule_query(r)) for r in TRIP_RULES}
     long = "SELECT file_month AS month, company, day::VARCHAR AS day, rule, failed, checked FROM x_predicates"
     out |= {
-        "trip_view": query("""SELECT company, hour(pickup_datetime)::INT AS hour, sum(plain)::BIGINT AS elapsed, sum(zoned)::BIGINT AS elapsed_ny,
-            count(*) FILTER (WHERE autumn) AS fall_back,
+        "trip_view": query("""SELECT company, hour(pickup_datetime)::INT AS hour, sum(elapsed)::BIGINT AS elapsed, sum(elapsed_ny)::BIGINT AS elapsed_ny,
+            count(*) FILTER (WHERE fall_back) AS fall_back,
             count(*) FILTER (WHERE PULocationID IN (1, 132, 138) OR DOLocationID IN (1, 132, 138)) AS airport,
             count(*) FILTER (WHERE PULocationID NOT IN (SELECT zone_id FROM x_zones)) AS unknown FROM x_trips GROUP BY ALL"""),
         "quality_frame": query(sql.frame_query()),

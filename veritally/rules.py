@@ -18,6 +18,11 @@ from pyspark.sql import types as T
 _QUOTED = re.compile(r"'(?:[^']|'')*'")
 
 
+def columns_of(predicate: str) -> set[str]:
+    """The names a predicate holds outside quoted texts."""
+    return set(re.findall(r"[A-Za-z_]\w*", _QUOTED.sub("", predicate)))
+
+
 @dataclass(frozen=True)
 class SameRecord:
     """Records agreeing on ``key``; with ``exact``, on those further columns too.
@@ -38,14 +43,12 @@ class Rule:
     dimension: str
     severity: str
     verdict: str
-    test: str
+    test: str = ""
     fails: str | None = None
     applies: str | None = None
     same: SameRecord | None = None
     group_sql: str | None = None
     shows: tuple[str, ...] = ()
-    why: str = ""
-    note: str = ""
 
     @property
     def grain(self) -> str:
@@ -138,8 +141,6 @@ REGISTRY = T.StructType([
     T.StructField("verdict", T.StringType(), False),
     T.StructField("grain", T.StringType(), False),
     T.StructField("test", T.StringType(), False),
-    T.StructField("why", T.StringType(), False),
-    T.StructField("note", T.StringType(), False),
     T.StructField("fails_sql", T.StringType(), True),
     T.StructField("applies_sql", T.StringType(), True),
     T.StructField("group_sql", T.StringType(), True),
@@ -154,7 +155,7 @@ def registry_frame(spark: SparkSession, pack: RulePack) -> DataFrame:
         [
             (
                 position, r.id, r.title, r.dimension, dimensions.index(r.dimension), r.severity, r.verdict, r.grain,
-                r.test, r.why, r.note, r.fails, r.applies,
+                r.test or r.fails or "", r.fails, r.applies,
                 r.group_sql or (f"same {', '.join(r.same.key + r.same.exact)}" if r.same else None), list(r.shows),
             )
             for position, r in enumerate(pack.rules)
