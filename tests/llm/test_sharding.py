@@ -3,6 +3,7 @@ from zlib import crc32
 
 import numpy as np
 from common import TEXTS, edge_docs
+from pyspark.sql import functions as F
 
 from tests.conftest import FOLDER
 from veritally.llm import queries, sharding
@@ -51,9 +52,38 @@ def test_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
 
 
 def test_edge_rows(spark, tmp_path):
-    edge_docs(spark).drop("row", "shard").write.parquet(str(tmp_path / "e"))
+    """Columns of the names that the operator uses itself do not disturb it."""
+    clashes = {name: F.lit(f"own {name}") for name in ("_file", "__at", "_at", "_offset", "_to", "a.b", "_metadata", "slot")}
+    edge_docs(spark).withColumns(clashes).write.parquet(str(tmp_path / "e"))
     rows = sharding.numbered(spark, str(tmp_path / "e"))
-    found = sharding.described(sharding.assign(rows, sharding.total(rows), 4)).collect()
+    placed = sharding.assign(rows, sharding.total(rows), 4)
+    assert {row["_file"] + row["_to"] + row["a.b"] for row in placed.collect()} == {"own _fileown _toown a.b"}
+    found = sharding.described(placed).collect()
     assert len(found) == len(TEXTS) and len({(r.shard, r.slot) for r in found}) == len(TEXTS)
     empty = spark.createDataFrame([], "doc_id bigint, text string, row bigint")
     assert sharding.total(empty) == 0 and sharding.described(sharding.assign(empty, 0, 4)).count() == 0
+
+
+def test_rows_go_where_a_plain_permutation_sends_them(spark):
+    """The same network in whole numbers without numpy, a row at a time."""
+    size, seed, shards = 1000, 2024, 16
+    half = next(h for h in range(1, 64) if 4**h >= size)
+    mask, word = 2**half - 1, 2**64 - 1
+
+    def mixed(value, turn):
+        x = (value + seed * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03) & word
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & word
+        return (x ^ x >> 31) & mask
+
+    def permuted(number):
+        while True:
+            left, right = number >> half, number & mask
+            for turn in range(sharding.ROUNDS):
+                left, right = right, left ^ mixed(right, turn)
+            number = left << half | right
+            if number < size:
+                return number
+
+    rows = sharding.assign(spark.range(size).withColumnRenamed("id", "row"), size, shards).collect()
+    assert {r.row: (r.slot, r.shard) for r in rows} == {i: divmod(permuted(i), shards) for i in range(size)}

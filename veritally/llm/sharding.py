@@ -7,8 +7,9 @@ beyond the last row are permuted again (cycle walking), which keeps it a bijecti
 slot of a row follow from its permuted number alone: the remainder and the quotient by the
 number of shards. Shard counts differ by one at most, slots have no gaps.
 
-Null texts count as empty. Equal rows are different rows and get different slots. Where there
-are no rows there is nothing to number.
+Null texts count as empty, texts of any length by their bytes; null ids change nothing. Equal
+rows are different rows and get different slots, so ties do not arise. Where there are no rows
+there is nothing to number. `row`, `shard` and `slot` replace columns of these names, others stay.
 """
 
 from __future__ import annotations
@@ -63,18 +64,33 @@ class Permutation:
         return out.astype(np.int64)
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of rows has it."""
+    taken = {column.lower() for column in rows.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(names) -> list[str]:
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
 def numbered(spark: SparkSession, path: str, column: str = "row") -> DataFrame:
     """The rows of parquet files with their global numbers, by file name and place in the file.
 
-    The number of rows of each file is counted first; that table has one row per file.
+    The number of rows of each file is counted first; that table has one row per file. The numbers
+    take the place of a column of their name; all other columns stay, whatever their names.
     """
     rows = spark.read.parquet(path)
-    names = rows.columns
-    rows = rows.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    counts = sorted((row["_file"], row["n"]) for row in rows.groupBy("_file").agg(F.count("*").alias("n")).collect())
+    names = [name for name in rows.columns if name.lower() != column.lower()]
+    file, at, offset = (unused(rows, name) for name in ("_file", "_at", "_offset"))
+    place = rows.metadataColumn("_metadata")
+    rows = rows.select(*quoted(names), place["file_path"].alias(file), place["row_index"].alias(at))
+    counts = sorted((row[0], row[1]) for row in rows.groupBy(file).agg(F.count("*")).collect())
     offsets = np.cumsum([0, *(n for _, n in counts)]).tolist()
-    table = spark.createDataFrame([(name, offset) for (name, _), offset in zip(counts, offsets)], "_file string, _offset bigint")
-    return rows.join(F.broadcast(table), "_file").select(*names, (F.col("_offset") + F.col("_at")).alias(column))
+    table = spark.createDataFrame([(name, start) for (name, _), start in zip(counts, offsets)], f"{file} string, {offset} bigint")
+    return rows.join(F.broadcast(table), file).select(*quoted(names), (F.col(offset) + F.col(at)).alias(column))
 
 
 def total(rows: DataFrame, column: str = "row") -> int:
@@ -83,7 +99,11 @@ def total(rows: DataFrame, column: str = "row") -> int:
 
 
 def assign(rows: DataFrame, n: int, shards: int, column: str = "row", seed: int = 2024) -> DataFrame:
-    """rows with shard and slot, from each row's number alone; n is the number of rows."""
+    """rows with shard and slot, from each row's number alone; n is the number of rows.
+
+    They take the place of columns of their names.
+    """
+    to = unused(rows, "_to")
     permutation = Permutation(n, seed)
 
     @F.pandas_udf("bigint")
@@ -91,9 +111,9 @@ def assign(rows: DataFrame, n: int, shards: int, column: str = "row", seed: int
         return pd.Series(permutation.apply(numbers.to_numpy()))
 
     return (
-        rows.withColumn("_to", permuted(F.col(column)))
-        .withColumns({"shard": (F.col("_to") % shards).cast("int"), "slot": F.floor(F.col("_to") / F.lit(shards)).cast("bigint")})
-        .drop("_to")
+        rows.withColumn(to, permuted(F.col(column)))
+        .withColumns({"shard": (F.col(to) % shards).cast("int"), "slot": F.expr(f"{to} div {shards}")})
+        .drop(to)
     )
 
 
