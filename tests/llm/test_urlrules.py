@@ -1,6 +1,7 @@
 import re
 
 import compare
+import pytest
 from tests.conftest import FOLDER
 from veritally.llm import oracle, queries, urlrules
 
@@ -41,6 +42,25 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert sorted(n for numbers in filed.values() for n in numbers) == list(range(len(rules)))
 
 
+def test_rules_as_a_table(spark):
+    """More rules than a plan holds give the verdicts of brute force, columns of the operator's own names beside them."""
+    rows = spark.createDataFrame(
+        [(k, u, "x", "y", "z", "n") for k, u in enumerate(URLS + URLS)], "page_id int, url string, rule string, tokens string, _best string, `a.b` string"
+    )
+    idle = tuple(urlrules.Rule("block", f"site{k}.test", f"/p{k}/", f"site{k}.test/p{k}/") for k in range(3000))
+    rules = urlrules.LISTED + idle + urlrules.GENERAL
+    found = urlrules.judge(rows, rules).collect()
+    assert len(found) == 2 * len(URLS) and {(r["_best"], r["a.b"]) for r in found} == {("z", "n")}
+    for row in found:
+        assert (row.host, row.path, row.rule, row.verdict) == brute(row.url), row.url
+    one = spark.createDataFrame([("http://a.site7.test/p7/x",)], "url string")
+    assert [(r.rule, r.verdict) for r in urlrules.judge(one, rules).collect()] == [("site7.test/p7/", "block")]
+    assert urlrules.judge(rows.limit(0), rules).count() == 0
+    unknown = urlrules.table(spark, (urlrules.Rule("block", pattern="^x"),))
+    with pytest.raises(Exception, match="no literal token"):
+        urlrules.judge_by_table(rows, unknown).collect()
+
+
 def test_query_against_sql(spark):
     con = compare.connect(FOLDER)
     own = queries.url_filter(spark, FOLDER).collect()

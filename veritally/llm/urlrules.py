@@ -5,10 +5,13 @@ must contain. Tokens are counted over all URLs; a rule is filed under its rarest
 distinct tokens fetch the rules filed under them, and only these run their expressions.
 
 Counting sums by token in each task first, and keeps only tokens that some rule has, so a host
-that many rows share does no harm. The index is as small as the list of rules and is part of
-the plan; judging a URL needs its row alone and no shuffle.
+that many rows share does no harm. Up to `PLANNED_RULES` rules the index is part of the plan;
+judging a URL needs its row alone and no shuffle. More rules are a table, joined to the tokens of
+the distinct URLs by the rarest token; both ways give the same rows.
 
-Null URLs and URLs without `://` have an empty host and path and fit no rule.
+Null URLs and URLs without `://` have an empty host and path and fit no rule. Equal rows all stay and get
+the same verdict; of rules that tie the first counts. Empty tables give empty ones. `host`, `path`, `rule` and
+`verdict` take the place of columns of their names; others stay.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rules that `judge` accepts; they travel in the plan.
-MOST_RULES = 5_000
+from veritally.llm.sharding import quoted, unused
+
+#: Rules that travel in the plan; more of them are joined as a table.
+PLANNED_RULES = 1_000
+TABLE = "turn bigint, verdict string, host string, path string, name string, expression string, tokens array<string>"
 TOKEN = "[a-z0-9]+"
 
 
@@ -98,19 +104,60 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + GENERAL, url: str
 
     Without a named rule the verdict is block where any rule that blocks fits, else the default.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    host, path = split(F.col(url))
-    parted = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", F.lit("/"), "path")), F.lit(f"({TOKEN})"), F.lit(1)))
-    filed = rarest(parted.select(found.alias("tokens")), rules)
+    if len(rules) > PLANNED_RULES:
+        return judge_by_table(pages, table(pages.sparkSession, rules), url)
+    parted = _parted(pages, url)
+    filed = rarest(parted.select(_tokens().alias("tokens")), rules)
     index = F.create_map(*[part for token, numbers in filed.items() for part in (F.lit(token), F.array(*[_entry(n, rules[n]) for n in numbers]))])
-    fetched = F.flatten(F.transform(F.array_intersect(found, F.array(*map(F.lit, filed))), lambda token: index[token]))
+    fetched = F.flatten(F.transform(F.array_intersect(_tokens(), F.array(*map(F.lit, filed))), lambda token: index[token]))
     fits = F.filter(fetched, lambda rule: F.rlike(F.concat("host", "path"), rule["expression"]))
-    best = F.array_max(F.transform(fits, lambda rule: rule.dropFields("expression")))
+    best = unused(pages, "_best")
+    return _judged(pages, parted.withColumn(best, F.array_max(F.transform(fits, lambda rule: rule.dropFields("expression")))), best)
+
+
+def table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rules as rows; `turn` is their order. A longer list can be read from files with these columns."""
+    rows = [(n, r.verdict, r.host, r.path, r.name, r.expression, list(r.tokens)) for n, r in enumerate(rules)]
+    return spark.createDataFrame(rows, TABLE)
+
+
+def judge_by_table(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """What `judge` returns, for any number of rules as a table of `TABLE`'s columns.
+
+    Only distinct URLs meet rules, so a URL that many rows share is judged once. A rule without a token is an error.
+    """
+    parted = _parted(pages, url)
+    urls = parted.select("host", "path").distinct().withColumn("token", F.explode(_tokens()))
+    counts = urls.groupBy("token").agg(F.count("*").alias("n"))
+    none = F.raise_error(F.concat(F.lit("no literal token in "), "expression")).cast("array<string>")
+    ruled = rules.withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(none)))
+    length = F.length(F.coalesce("host", F.lit(""))) + F.length(F.coalesce("path", F.lit("")))
+    order = F.struct(
+        F.col("name").isNotNull().alias("named"), length.alias("length"), (F.col("verdict") == "block").alias("blocks"),
+        (-F.col("turn")).alias("turn"), "name", "verdict",
+    )
+    rare = F.min(F.struct(F.coalesce("n", F.lit(0)), F.col("token")))["token"]
+    filed = ruled.join(counts, "token", "left").groupBy("expression", order.alias("order")).agg(rare.alias("token"))
+    best = unused(pages, "_best")
+    fits = urls.join(filed, "token").filter(F.rlike(F.concat("host", "path"), F.col("expression")))
+    return _judged(pages, parted.join(fits.groupBy("host", "path").agg(F.max("order").alias(best)), ["host", "path"], "left"), best)
+
+
+def _parted(pages: DataFrame, url: str) -> DataFrame:
+    host, path = split(F.col(url))
+    return pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
+
+
+def _tokens():
+    """Distinct tokens of host and path."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", F.lit("/"), "path")), F.lit(f"({TOKEN})"), F.lit(1)))
+
+
+def _judged(pages: DataFrame, found: DataFrame, best: str) -> DataFrame:
+    """The columns of pages, and what the struct `best` says; null says the default."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return parted.withColumn("_best", best).select(
-        *kept, "host", "path", F.col("_best.name").alias("rule"), F.coalesce("_best.verdict", F.lit(DEFAULT)).alias("verdict")
+    return found.select(
+        *quoted(kept), "host", "path", F.col(best)["name"].alias("rule"), F.coalesce(F.col(best)["verdict"], F.lit(DEFAULT)).alias("verdict")
     )
 
 
