@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from veritally.functions import clock
 from veritally.functions.measures import change, tone
 from veritally.operators import files, volume
+from veritally.operators.duplicates import repeated_records
 from veritally.operators.examples import example_records
 from veritally.packs import rideshare
 from veritally.plans import months
+from veritally.rules import Rule, RulePack
 from veritally.sources import readers, trip_fixture
 from veritally.sources.store import TABLES, ResultStore, prefer
 from tests.conftest import FOLDER
@@ -104,6 +106,46 @@ def test_examples_do_not_depend_on_partitions(spark):
     assert sorted(map(repr, one)) == sorted(map(repr, other)) and one
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_examples_are_the_first_by_order(spark):
+    """All failing records of one hot group, ties and a group with fewer than n; one scan, cut before the shuffle."""
+    rules = (rule_of("A", "v < 0"), rule_of("B", "v > 90"))
+    pack = RulePack("p", rules, ("g",), {"d": ""}, sample_order="o")
+    rows = [("hot", i * 37 % 101, i % 50, -i) for i in range(1, 300)] + [("cold", 5, 1, 95), ("cold", 5, 1, None)]
+    df = spark.createDataFrame(rows, "g string, k int, o bigint, v int").repartition(5)
+    found = example_records(df, pack, 3, ("g",))
+    got = sorted((r.g, r.rule, r.rank, r.v) for r in found.collect())
+    hot = sorted((o, v) for g, _, o, v in rows if g == "hot")[:3]
+    assert got == [("cold", "B", 1, 95), *[("hot", "A", i + 1, v) for i, (_, v) in enumerate(hot)]]
+    trips = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    keyed = RulePack("p", (rule_of("A", "o_totalprice > 1000", "o_orderkey"),), ("o_orderstatus",), {"d": ""})
+    plan = _plan(example_records(trips, keyed, 3, ("o_orderstatus",)))
+    assert plan.count("FileScan parquet") == 1 and plan.count("WindowGroupLimit") == 2
+
+
+def rule_of(name, fails, *shows):
+    return Rule(name, name, "d", "error", "defect", fails=fails, shows=shows or ("v",))
+
+
+def test_copies_against_brute_force(spark):
+    """Null keys match for the key alone; a hot key with different values; copies of a record on two days."""
+    rows = [(i % 3, None if i % 7 == 0 else "hot", i % 5, i % 2) for i in range(120)] + [(0, f"one{i}", 1, 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "day int, k string, x int, y int")
+    got = {r.day: (r.same_key, r.same_record) for r in repeated_records(df, ("day",), ("k",), ("x", "y")).collect()}
+    expected = {}
+    for at, columns in ((0, lambda r: r[1]), (1, lambda r: r[1:])):
+        seen = set()
+        for row in sorted(rows, key=lambda r: r[0]):
+            if columns(row) in seen and (at == 0 or row[1] is not None):
+                expected.setdefault(row[0], [0, 0])[at] += 1
+            seen.add(columns(row))
+    assert got == {day: tuple(counts) for day, counts in expected.items()}
+    assert repeated_records(df.limit(0), ("day",), ("k",), ("x", "y")).count() == 0
+
+
 def test_indicator_file(spark, tmp_path):
     path = tmp_path / "indicators.csv"
     path.write_text("Month/Year,License Class,Trips Per Day,Unique Drivers,Unique Vehicles,Trips Per Day Shared\n"

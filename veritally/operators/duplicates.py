@@ -20,8 +20,8 @@ def repeated_records(
     other for ``same_key``; a record with one never counts for ``same_record``.
 
     One eight-byte hash per record crosses the shuffle first; only records whose hash occurs twice
-    are grouped by their values. Groupings combine on the map side, so a key holding much of
-    the table still reaches its reducer as a few partial counts.
+    are grouped by their values, once, and both counts come from those groups. Groupings combine
+    on the map side, so a key holding much of the table still reaches its reducer as a few partial counts.
     """
     group = list(dict.fromkeys((*scope, *key)))
     apart = [c for c in by if c not in group]
@@ -29,11 +29,12 @@ def repeated_records(
     rows = df.select(*whole)
     hashes = rows.select(F.xxhash64(*group).alias("h")).groupBy("h").count().where("count > 1").select("h")
     rows = rows.join(hashes, F.xxhash64(*group) == F.col("h"), "left_semi")
+    equal = rows.groupBy(*whole).agg(F.count(F.lit(1)).alias("copies"))
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
 
     def surplus(columns: list[str]) -> DataFrame:
         """Copies per ``columns`` and ``by``, without the first record of each ``columns``."""
-        counts = rows.groupBy(*list(dict.fromkeys((*columns, *apart)))).agg(F.count(F.lit(1)).alias("copies"))
+        counts = equal.groupBy(*list(dict.fromkeys((*columns, *apart)))).agg(F.sum("copies").alias("copies"))
         if not apart:
             return counts.withColumn("copies", F.col("copies") - 1)
         first = F.row_number().over(Window.partitionBy(*columns).orderBy(*apart)) == 1
@@ -42,8 +43,10 @@ def repeated_records(
     keyed = surplus(group).select(*by, F.col("copies").alias("same_key"), F.lit(0).alias("same_record"))
     if not exact:
         return _summed(keyed, by)
-    records = surplus([c for c in whole if c not in apart or c in exact]).where(complete)
-    return _summed(keyed.unionByName(records.select(*by, F.lit(0).alias("same_key"), F.col("copies").alias("same_record"))), by)
+    # As a filter, completeness would be pushed to the scan, and the two uses of the groups no longer be one.
+    records = surplus([c for c in whole if c not in apart or c in exact])
+    counted = F.when(complete, F.col("copies")).otherwise(0).alias("same_record")
+    return _summed(keyed.unionByName(records.select(*by, F.lit(0).alias("same_key"), counted)), by)
 
 
 def _summed(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:

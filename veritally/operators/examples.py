@@ -6,54 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.rules import RulePack
-from veritally.session import shared_dir
 
-SLOTS = 32
 _ORDER = "sample_order"
-_BOUNDS = "sample_bounds"
 
 
 def _flagged(df: DataFrame, pack: RulePack) -> DataFrame:
-    """The columns examples show, their order, and a boolean per record rule."""
+    """The columns examples show, their order, and the record rules each record fails."""
     order = F.expr(pack.sample_order) if pack.sample_order else F.xxhash64(*pack.shown_columns)
-    return df.select(
-        *pack.shown_columns, order.cast("bigint").alias(_ORDER),
-        *[F.coalesce(F.expr(r.fails), F.lit(False)).alias(r.id) for r in pack.record_rules],
-    )
+    failed = [F.when(F.expr(r.fails), F.lit(r.id)) for r in pack.record_rules]
+    return df.select(*pack.shown_columns, order.cast("bigint").alias(_ORDER), F.array_compact(F.array(*failed)).alias("failed"))
 
 
-def sample_bounds(flagged: DataFrame, pack: RulePack, by: tuple[str, ...], n: int) -> DataFrame:
-    """For each group and rule, a value at or above the n-th smallest failing order.
+def example_records(df: DataFrame, pack: RulePack, n: int = 3, by: tuple[str, ...] = ("file_month",)) -> DataFrame:
+    """Up to n failing records per group and record rule: rule, rank and the columns examples show.
 
-    Records fall into slots by their order; each slot keeps the smallest failing one per
-    rule. The n-th smallest of those is such a bound, and close to the true value. This is
-    one hash aggregate of longs, where ranking every failing record would sort them all.
-    Null where fewer than n slots hold a failure: then nothing is cut.
+    One scan. Each task keeps the n first of its records per group and rule before anything is
+    shuffled, so n records per task, group and rule are all that meet, however many fail.
+    Ordering by every shown column after the hash leaves ties only between equal examples.
     """
-    failing = [F.min(F.when(F.col(f"`{r.id}`"), F.col(_ORDER))).alias(r.id) for r in pack.record_rules]
-    minima = flagged.groupBy(*by, F.pmod(_ORDER, F.lit(SLOTS)).alias("slot")).agg(*failing)
-    nth = [F.get(F.sort_array(F.collect_list(f"`{r.id}`")), F.lit(n - 1)) for r in pack.record_rules]
-    return minima.groupBy(*by).agg(F.array(*nth).alias(_BOUNDS))
-
-
-def example_records(df: DataFrame, pack: RulePack, n: int = 3, by: tuple[str, ...] = ("file_month",)) -> DataFrame:
-    """Up to n failing records per group and record rule: rule, rank and the columns examples show."""
-    flagged = _flagged(df, pack)
-    shared_dir(df.sparkSession)
-    bounds = sample_bounds(flagged, pack, by, n).checkpoint()
-    joined = flagged.join(bounds, list(by))
-    hits = []
-    for i, rule in enumerate(pack.record_rules):
-        # A bound that is null cuts nothing.
-        bound = F.coalesce(F.get(_BOUNDS, F.lit(i)), F.lit(2**63 - 1))
-        hits.append(F.when(F.col(f"`{rule.id}`") & (F.col(_ORDER) <= bound), F.lit(rule.id)))
-    # Few records have a hit; the rest explode to nothing. As one predicate over all rules
-    # the same condition makes the optimiser's normal forms grow without end.
-    candidates = joined.select(*pack.shown_columns, _ORDER, F.explode(F.array_compact(F.array(*hits))).alias("rule"))
-    # Ordering by every shown column after the hash leaves ties only between equal examples.
+    hits = _flagged(df, pack).select(*pack.shown_columns, _ORDER, F.explode("failed").alias("rule"))
     ties = [F.col(c).asc_nulls_first() for c in pack.shown_columns if c not in by]
     window = Window.partitionBy(*by, "rule").orderBy(_ORDER, *ties)
-    return candidates.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
+    return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
 def as_json(records: DataFrame, pack: RulePack, by: tuple[str, ...] = ("file_month",)) -> DataFrame:
