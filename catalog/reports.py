@@ -79,6 +79,21 @@ def _meta(d: Landed) -> DataFrame:
     )
 
 
+def _trend(d: Landed) -> DataFrame:
+    """The selected company's trend with the selected month marked."""
+    mine = status.dimension_trend(d.stats, d.registry, d.months, COMPANIES).where(F.col("company") == "Lyft")
+    return status.selected_trend(mine, d.months, MONTH).select(
+        "dimension", "month", "company", "share", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "selected")
+
+
+def _packed(d: Landed) -> DataFrame:
+    """Rows and trips by month, read after the finished months were packed into few files."""
+    d.store.compact()
+    rows = d.store.read("quality").groupBy("month").agg(F.count(F.lit(1)).alias("quality"))
+    trips = d.store.read("daily").groupBy("month").agg(F.sum("trips").alias("trips"))
+    return rows.join(trips, "month", "full")
+
+
 REPORTS = {
     "rpt_rule_stats": lambda d: d.stats,
     "rpt_rule_status": _status,
@@ -89,6 +104,8 @@ REPORTS = {
     "rpt_dimension_defects": lambda d: status.dimension_defects(d.stats, d.registry, d.months, COMPANIES),
     "rpt_dimension_cards": lambda d: status.dimension_cards(d.status, d.stats, d.registry, d.months, COMPANIES),
     "rpt_dimension_trend": lambda d: status.dimension_trend(d.stats, d.registry, d.months, COMPANIES),
+    "rpt_selected_trend": _trend,
+    "rpt_packed_months": _packed,
     "rpt_verdict_cards": lambda d: status.verdict_cards(d.status, d.stats),
     "rpt_quality_kpis": lambda d: status.quality_kpis(d.status, d.stats, d.registry, d.facts, d.months, COMPANIES),
     "rpt_rule_table": lambda d: status.rule_table(d.stats, d.registry, d.months, COMPANIES),
@@ -157,6 +174,11 @@ def oracle() -> dict[str, str]:
                     bool_or(grain = 'trip' AND verdict = 'defect') AS countable FROM y_status GROUP BY ALL) s
             JOIN y_defects f USING (month, company, dimension) LEFT JOIN y_explained e USING (month, company, dimension)""",
         "rpt_dimension_trend": "SELECT dimension, month, company, round(coalesce(share, 0), 6) AS share FROM y_defects",
+        "rpt_selected_trend": f"""SELECT dimension, month, company, round(coalesce(share, 0), 6) AS share, month || '-01' AS start,
+            (((month || '-01')::DATE + INTERVAL 1 MONTH)::DATE)::VARCHAR AS "end", month = '{MONTH}' AS selected
+            FROM y_defects WHERE company = 'Lyft'""",
+        "rpt_packed_months": """SELECT month, q.quality, t.trips FROM (SELECT month, count(*) AS quality FROM y_quality GROUP BY month) q
+            FULL JOIN (SELECT month, sum(trips)::BIGINT AS trips FROM x_daily GROUP BY month) t USING (month)""",
         "rpt_verdict_cards": f"""SELECT h.month, h.company, h.verdict, coalesce(s.failed, 0) AS trips, round(s.share, 6) AS share, h.hits, h.rules
             FROM (SELECT month, company, verdict, {sql.FOUND} AS hits, count(*) AS rules FROM y_status GROUP BY ALL) h
             LEFT JOIN y_stats s ON s.month = h.month AND s.company = h.company AND s.rule = '@all/' || h.verdict""",

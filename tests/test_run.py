@@ -183,6 +183,45 @@ def test_of_two_runs_on_a_month_one_is_refused(spark, tmp_path):
     assert ResultStore(spark, str(tmp_path / "s")).finished()["2026-01"] == fourth
 
 
+def _numbers(store, table="daily"):
+    return sorted(map(tuple, store.read(table).select("month", "n").collect()))
+
+
+def test_months_are_packed_into_few_files(spark, tmp_path):
+    base = str(tmp_path / "s")
+    store = ResultStore(spark, base)
+    assert store.compact() == []
+    first, months = store.new_run(), [f"{2020 + i // 6}-{i % 6 + 1:02d}" for i in range(8)]
+    _write(spark, store, first, [t for t in TABLES if t != "examples"], *[(m, i) for i, m in enumerate(months)])
+    store.finish(first)
+    before, late = _numbers(store), store.new_run()
+    _write(spark, store, late, TABLES, (months[3], 99))
+    assert store.compact() == months and store.compact() == []
+    seen = ResultStore(spark, base)
+    assert _numbers(seen) == before and len(seen.read("daily").inputFiles()) == 1
+    one = seen.read("daily", [months[4]])
+    assert one.count() == 1 and "PushedFilters: [IsNotNull(month)" in one._jdf.queryExecution().executedPlan().toString()
+    # A run that began before the months were packed is refused, and its rows are not seen.
+    with pytest.raises(Conflict):
+        store.finish(late)
+    assert _numbers(ResultStore(spark, base)) == before
+    # Nothing young is deleted; then only what no month names.
+    assert seen.clean(grace=3600) == []
+    assert len(seen.clean(grace=-1)) == 5 * 8 + 6 and _numbers(ResultStore(spark, base)) == before
+    assert sorted(map(tuple, seen.read_written("facts").select("month", "n").collect())) == before
+    # A month computed again leaves the packed files, and comes back to new ones; the old ones go then.
+    again = seen.new_run()
+    _write(spark, seen, again, TABLES, (months[0], 7))
+    seen.finish(again)
+    after = [(months[0], 7), *before[1:]]
+    assert _numbers(seen) == after and len(seen.read("daily").inputFiles()) == 2
+    assert seen.clean(grace=-1) == [] and seen.compact(target=1) == months
+    assert _numbers(seen) == after and len(seen.read("daily").inputFiles()) > 1
+    assert _numbers(seen, "examples") == [(months[0], 7)]
+    assert seen.retire([months[1]], confirmed=True) == [months[1]] and _numbers(seen) == [after[0], *after[2:]]
+    assert any("packed" in path for path in seen.clean(grace=-1)) and _numbers(seen) == [after[0], *after[2:]]
+
+
 def test_totals_by_base_and_month(spark):
     rows = spark.createDataFrame([("UBER", 2023, 12, 5, 0, 0), ("UBER", 2024, 1, 7, 0, 0), ("VIA", 2024, 2, 9, 0, 0)], readers.AGGREGATE)
     got = readers.aggregate_totals(rows, "2024-01", ["UBER", "LYFT"]).collect()

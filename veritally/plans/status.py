@@ -277,3 +277,11 @@ def selected_months(months: DataFrame, month: str) -> DataFrame:
     return months.select("month").distinct().select(
         "month", start.alias("start"), F.add_months(start, 1).alias("end"), (F.col("month") == month).alias("selected")
     )
+
+
+def selected_trend(trend: DataFrame, months: DataFrame, month: str) -> DataFrame:
+    """A trend by month with each month's date range and whether it is the selected one: line and band in one frame.
+
+    Months without a row of the trend have one with no values.
+    """
+    return selected_months(months, month).join(trend, "month", "left")

@@ -6,6 +6,10 @@ version, ``base/finished/month=YYYY-MM/v<number>``; readers see the run that the
 nothing else, so a run lost half-way, or still going, is invisible. Markers are created only where there is none:
 of two runs that began at the same version of a month, one wins and the other is refused. A month
 that goes gets a marker without a run, and then its files are deleted.
+
+Months by folders are many small files. ``compact`` writes all finished months of a table into a few sorted files
+under ``base/packed/<id>/<table>/`` and gives each month a version that names them; ``clean`` deletes what no
+month names any more, after a grace period for those still reading it.
 """
 
 from __future__ import annotations
@@ -20,9 +24,17 @@ from pyspark.sql import functions as F
 MARKER = "month string, run string"
 # What a marker says of a month that is gone. An empty one was never completed and counts as absent.
 GONE = "-"
+# Versions that lie in packed files, many months together, begin like this.
+PACKED = "packed-"
 TABLES = ("quality", "daily", "hourly", "zones", "facts", "examples")
 # A month may have no example, and no trip with a zone; the other tables have rows for every month.
 SPARSE = ("zones", "examples")
+# The order of rows within a month, by which files are sorted.
+ORDERS = {
+    "quality": ("rule", "company", "day"), "daily": ("day", "company", "borough"), "hourly": ("company", "borough", "dow", "hour"),
+    "zones": ("company", "trips"), "facts": (), "examples": ("rule", "rank"),
+}
+TARGET_BYTES = 128 << 20
 
 
 class Conflict(RuntimeError):
@@ -128,27 +140,94 @@ class ResultStore:
     def read(self, table: str, months: list[str] | None = None) -> DataFrame:
         """A table's finished months: only their directories are listed and read."""
         wanted = {m: r for m, r in self.finished().items() if months is None or m in months}
-        paths = [f"{self.base}/{table}/month={m}/run={r}" for m, r in sorted(wanted.items())]
-        key = (table, tuple(paths))
+        key = (table, tuple(sorted(wanted.items())))
         if key not in self._tables:
+            packed: dict[str, list[str]] = {}
+            for month, run in sorted(wanted.items()):
+                if run.startswith(PACKED):
+                    packed.setdefault(run, []).append(month)
+            paths = [f"{self.base}/{table}/month={m}/run={r}" for m, r in sorted(wanted.items()) if r not in packed]
+            whole = [(f"{self.base}/packed/{run}/{table}", own) for run, own in packed.items()]
             if table in SPARSE:
                 paths = [p for p in paths if self._exists(p)]
-            if not paths:
+                whole = [(p, own) for p, own in whole if self._exists(p)]
+            parts = [self._folders(table, paths).drop("run")] if paths else []
+            # Files are sorted by month, so this filter reaches only the row groups that hold one of them.
+            parts += [self.spark.read.parquet(path).where(F.col("month").isin(own)) for path, own in whole]
+            if not parts:
                 raise FileNotFoundError(f"no finished month of {table} in {self.base}")
-            rows = self.spark.read.option("basePath", f"{self.base}/{table}").parquet(*paths)
-            # Partition values stay text: inference would read 2026-06 as a date.
-            month = F.date_format("month", "yyyy-MM") if dict(rows.dtypes)["month"] == "date" else F.col("month")
-            self._tables[key] = rows.withColumn("month", month).drop("run")
+            self._tables[key] = reduce(DataFrame.unionByName, parts)
         return self._tables[key]
 
+    def _folders(self, table: str, paths: list[str]) -> DataFrame:
+        """Rows under folders of months and runs. These stay text: inference would read 2026-06 as a date."""
+        rows = self.spark.read.option("basePath", f"{self.base}/{table}").parquet(*paths)
+        month = F.date_format("month", "yyyy-MM") if dict(rows.dtypes)["month"] == "date" else F.col("month")
+        return rows.withColumn("month", month).withColumn("run", F.col("run").cast("string"))
+
     def read_written(self, table: str) -> DataFrame:
         """A table's rows of each month's finished run, and of the latest run where none has finished the month."""
-        rows = self.spark.read.option("basePath", f"{self.base}/{table}").parquet(f"{self.base}/{table}")
-        month = F.date_format("month", "yyyy-MM") if dict(rows.dtypes)["month"] == "date" else F.col("month")
-        rows = rows.withColumn("month", month).withColumn("run", F.col("run").cast("string"))
-        done = self.spark.createDataFrame(sorted(self.finished().items()), "month string, finished string")
-        latest = rows.groupBy("month").agg(F.max("run").alias("latest")).join(done, "month", "left")
-        return rows.join(latest.select("month", F.coalesce("finished", "latest").alias("run")), ["month", "run"], "left_semi").drop("run")
+        path, system = self._path(f"{self.base}/{table}/month=*/run=*/*.parquet")
+        if not system.globStatus(path):  # all its months are packed
+            return self.read(table)
+        rows = self._folders(table, [f"{self.base}/{table}"]).where(~F.col("month").isin(list(self.finished())))
+        latest = rows.groupBy("month").agg(F.max("run").alias("run"))
+        rest = rows.join(latest, ["month", "run"], "left_semi").drop("run")
+        return rest.unionByName(self.read(table)) if self.finished() else rest
+
+    def compact(self, target: int = TARGET_BYTES, tables: tuple[str, ...] = TABLES) -> list[str]:
+        """Write the finished months into files of about ``target`` bytes; the months that now lie there.
+
+        Nothing where every month already lies in the same files. A month that a run finishes meanwhile
+        stays that run's; a run that began before is refused a month that was packed meanwhile, and is run again.
+        """
+        before = dict(self.finished())
+        if not before or (len(set(before.values())) == 1 and next(iter(before.values())).startswith(PACKED)):
+            return []
+        packed = f"{PACKED}{self.new_run()}"
+        seen = self._seen[packed.removeprefix(PACKED)]
+        for table in tables:
+            try:
+                rows = self.read(table)
+            except FileNotFoundError:  # a sparse table without a row in any month
+                continue
+            files = rows.inputFiles()
+            size = sum(system.getFileStatus(path).getLen() for path, system in map(self._path, files))
+            order = [c for c in ORDERS[table] if c in rows.columns]
+            # By month and order, not by month alone: a large month may fill several files.
+            dealt = rows.repartitionByRange(max(1, -(-size // target)), "month", *order).sortWithinPartitions("month", *order)
+            dealt.write.option("compression", "zstd").parquet(f"{self.base}/packed/{packed}/{table}")
+        # Only months that are as they were read: their versions have not grown since.
+        won = [month for month in sorted(before) if self._mark(month, seen.get(month, 0) + 1, packed)]
+        self._current = None
+        return won
+
+    def clean(self, grace: float) -> list[str]:
+        """Delete folders of runs that no month names; those deleted.
+
+        What began less than ``grace`` seconds ago stays, as it may still be written; and what was replaced less than so
+        long ago, as it may still be read. Grace has to be longer than any run.
+        """
+        self._current = None
+        current, now, gone = set(self.finished().items()), time.time(), []
+        named = {run for _, run in current}
+        markers, system = self._path(f"{self.base}/finished/month=*/v*")
+        replaced: dict[str, float] = {}
+        for marker in system.globStatus(markers) or []:
+            month, at = marker.getPath().getParent().getName()[6:], marker.getModificationTime() / 1000
+            replaced[month] = max(at, replaced.get(month, 0.0))
+        folders = [f"{self.base}/{table}/month=*/run=*" for table in TABLES] + [f"{self.base}/packed/*"]
+        for path, system in map(self._path, folders):
+            for status in system.globStatus(path) or []:
+                folder = status.getPath()
+                run, month = folder.getName().removeprefix("run="), folder.getParent().getName().removeprefix("month=")
+                used = run in named if run.startswith(PACKED) else (month, run) in current
+                began = int(run.removeprefix(PACKED)[:20]) / 1e9
+                last = max(replaced.values(), default=0.0) if run.startswith(PACKED) else replaced.get(month, now)
+                if not used and now - max(began, last) > grace:
+                    system.delete(folder, True)
+                    gone.append(folder.toString())
+        return sorted(gone)
 
     def publish(self, name: str, df: DataFrame) -> None:
         """Replace a small table that spans months. Readers take the latest one written whole."""
