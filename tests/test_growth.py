@@ -9,7 +9,7 @@ from catalog import common, reports
 from tests.conftest import FOLDER
 from veritally.operators import checks
 from veritally.plans import month_job
-from veritally.sources import trip_fixture
+from veritally.sources import footers, trip_fixture
 
 
 def _plan(df):
@@ -55,3 +55,14 @@ def test_lines_are_dealt_out_only_where_few_tasks_read_them(spark, tmp_path):
     few, many = trip_fixture.trips(spark, FOLDER), trip_fixture.trips(spark, _copy(tmp_path, 64))
     assert "Exchange" in _plan(few) and "Exchange" not in _plan(many)
     assert few.exceptAll(many).count() == 0 and few.count() == many.count()
+
+
+def test_landing_keeps_no_second_copy(spark, tmp_path, monkeypatch):
+    """Files hold every trip with its month's columns; the trips are not written a first time to be read for that."""
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda *_: pytest.fail("trips are kept before they are written"))
+    folder = _copy(tmp_path)
+    found = footers.footers(spark, common.landed(spark, folder)).collect()
+    assert sum(r.rows for r in found) == trip_fixture.trips(spark, folder).count()
+    assert len({tuple(c.name for c in r.schema) for r in found}) == 4
+    plan = _plan(trip_fixture.trips(spark, folder, trip_fixture.lines_by_month(spark, folder)).where("file_month = '1997-03'"))
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("Filter")
