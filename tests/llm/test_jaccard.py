@@ -4,6 +4,7 @@ import pytest
 from common import TEXTS, edge_docs, words
 
 from veritally.llm import jaccard
+from veritally.llm.components import components
 
 
 def brute(rows):
@@ -60,3 +61,33 @@ def test_edge_rows(spark):
     left = [r.doc_id for r in jaccard.survivors(edge_docs(spark)).collect()]
     assert sorted(left, key=repr) == sorted([i for i, _ in TEXTS if i not in (2, 3, 9)], key=repr)
     assert jaccard.join(edge_docs(spark).limit(0)).count() == 0
+
+
+def test_only_hashes_that_another_document_has_are_shipped(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:150], "other", *base[151:]])), (3, " ".join(f"v{i}" for i in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    slots = jaccard.repeated_slots(docs, "text", 5)
+    made = {r.doc_id: r for r in jaccard.sets(docs.repartition(3, "doc_id"), slots, "text", 5, 80).collect()}
+    assert [made[i].n_shingles for i in (1, 2, 3)] == [196, 196, 46]
+    assert len(made[1].hashes) == len(made[2].hashes) == 191 and made[1].key != made[2].key and made[3].hashes is None
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_small_tables_of_components_take_few_tasks(spark):
+    pairs = spark.range(400).selectExpr("id div 2 as member", "(id + 1) div 2 + 1000 as via").repartition(64)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup("small components", "")
+        assert {r.root for r in components(pairs).collect()} == {0}
+        stages = {s for job in tracker.getJobIdsForGroup("small components") for s in tracker.getJobInfo(job).stageIds}
+        sizes = [info.numTasks for s in stages if (info := tracker.getStageInfo(s))]
+        wide = sum(n == 64 for n in sizes)
+        assert wide < len(sizes) / 3, sizes
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.session import shared_dir
@@ -14,23 +14,35 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a small column or two that one task may hold.
+TASK_ROWS = 200_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks that so many narrow rows are worth: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """member and root, the smallest member of its component, for pairs of member and via.
 
     Members of one `via` are connected. Each round passes the smallest root through every `via`;
     from the fourth on, roots of roots are followed too, so that long chains shorten. Every step
-    sums in each task first; one table is written in a round.
+    sums in each task first; one table is written in a round. As many tasks as the rows are worth
+    read and write it: each writes a shuffle file for every step, and small tables take many steps.
     """
     rows = kept(pairs.select("member", "via", F.col("member").alias("root")).distinct())
+    tasks = tasks_for(rows.sparkSession, rows.count())
+    rows = rows.coalesce(tasks)
     turn = 0
     while True:
         turn += 1
         low = rows.groupBy("via").agg(F.min("root").alias("low"))
-        near = rows.join(low, "via").groupBy("member").agg(F.min("low").alias("new"))
+        near = rows.join(low, "via").coalesce(tasks).groupBy("member").agg(F.min("low").alias("new"))
         if turn > 3:
             ahead = rows.select(F.col("member").alias("new"), F.col("root").alias("next")).distinct()
-            near = near.join(ahead, "new").select("member", F.least("new", "next").alias("new"))
-        rows = kept(rows.join(near, "member"))
+            near = near.coalesce(tasks).join(ahead.coalesce(tasks), "new").coalesce(tasks).select("member", F.least("new", "next").alias("new"))
+        rows = kept(rows.join(near, "member").coalesce(tasks))
         # A round that changes nothing is the last.
         if rows.filter("new <> root").isEmpty():
             return rows.select("member", "root").distinct()

@@ -24,7 +24,7 @@ are rows of their own; a null id never names a component unless all its members
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -45,8 +45,8 @@ SLOT_BITS = 26
 FREQUENT, MOST_FREQUENT = 64, 100_000
 #: Shingles of the nodes of one chunk, and central nodes that each chunk of a hub meets.
 CHUNK, CENTRAL = 300_000, 32
-#: Characters of text behind one range of hashes, and the most ranges.
-RANGE_CHARS, MOST_RANGES = 4_000_000, 65_536
+#: Hashes of one range, the most ranges, the bits below a range's that tell hashes apart, and characters of a word with its space.
+RANGE_HASHES, MOST_RANGES, LOW_BITS, WORD_CHARS = 700_000, 65_536, 24, 6
 
 
 def needed(size: int, percent: int) -> int:
@@ -80,41 +80,62 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum([len(part) for part in parts])]), np.concatenate(parts)
 
 
-def repeated_slots(docs: DataFrame, column: str, words: int) -> np.ndarray:
-    """Bits of the hash slots that hold a hash of two or more rows. Its size does not depend on the data."""
-    chars = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
-    ranges = 1 << min(MOST_RANGES.bit_length() - 1, max(6, (chars // RANGE_CHARS).bit_length()))
-    bits = ranges.bit_length() - 1
-    shift = np.uint64(64 - bits)
+def ranges_for(hashes: int) -> int:
+    """Ranges, a power of two, that so many hashes are dealt by."""
+    return 1 << min(MOST_RANGES.bit_length() - 1, max(6, (hashes // RANGE_HASHES).bit_length()))
+
+
+def by_range(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], ranges: int) -> DataFrame:
+    """range and hashes (packed, sorted) of all hashes that the function gives, each range in one task.
+
+    The range holds the upper bits; the 24 below tell hashes apart well enough where a hash taken for another does no harm.
+    """
+    shift = np.uint64(64 - (ranges.bit_length() - 1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
 
         def blocks() -> pa.RecordBatch:
-            # The range holds the upper bits; the 32 below are enough to tell hashes apart here.
             hashes = np.sort(np.concatenate(waiting))
             waiting.clear()
             at = np.searchsorted(hashes, np.arange(ranges, dtype=np.uint64) << shift)
-            parts = np.split((hashes << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), at[1:])
+            low = (hashes >> (shift - np.uint64(LOW_BITS))).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            parts = np.split(low, at[1:])
             real = [i for i, part in enumerate(parts) if len(part)]
             return pa.RecordBatch.from_arrays([pa.array(real, pa.int32()), pa.array([parts[i].tobytes() for i in real], pa.binary())], names=["range", "hashes"])
 
-        for batch in text.pieces(batches, column):
-            waiting.append(shingles(batch.column(column), words)[1])
+        for hashes in hashes_of(batches):
+            waiting.append(hashes)
             if sum(map(len, waiting)) > 1_000_000:
                 yield blocks()
         if waiting:
             yield blocks()
 
+    return rows.mapInArrow(cut, "range int, hashes binary").repartition("range").sortWithinPartitions("range")
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Of each range, its hashes, ascending: the range's number and the 24 bits below."""
+    for (number,), parts in by_key(batches, ["range"]):
+        low = np.frombuffer(b"".join(part["hashes"] for part in parts), np.uint8).reshape(-1, 3).astype(np.int64)
+        yield np.sort(low[:, 0] | low[:, 1] << 8 | low[:, 2] << 16 | number << LOW_BITS)
+
+
+def repeated_slots(docs: DataFrame, column: str, words: int) -> np.ndarray:
+    """Bits of the hash slots that hold a hash of two or more rows. Its size does not depend on the data."""
+    chars = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
+    ranges = ranges_for(chars // WORD_CHARS)
+    drop = LOW_BITS + ranges.bit_length() - 1 - SLOT_BITS
+
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (shingles(batch.column(column), words)[1] for batch in text.pieces(batches, column))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (number,), parts in by_key(batches, ["range"]):
-            hashes = np.sort(np.concatenate([np.frombuffer(part["hashes"], np.uint32) for part in parts]))
-            again = hashes[1:][hashes[1:] == hashes[:-1]].astype(np.uint64)
-            slots = np.unique((np.uint64(number) << np.uint64(32) | again) >> np.uint64(32 + bits - SLOT_BITS)).astype(np.int32)
+        for hashes in merged(batches):
+            slots = np.unique(hashes[1:][hashes[1:] == hashes[:-1]] >> drop).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([slots.tobytes()], pa.binary())], names=["slots"])
 
-    found = docs.select(column).mapInArrow(cut, "range int, hashes binary")
-    found = found.repartition("range").sortWithinPartitions("range").mapInArrow(count, "slots binary")
+    found = by_range(docs.select(column), hashes_of, ranges).mapInArrow(count, "slots binary")
     packed = np.zeros(1 << SLOT_BITS - 3, np.uint8)
     for row in found.toLocalIterator():
         slots = np.frombuffer(row["slots"], np.int32)
@@ -142,7 +163,10 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def sets(docs: DataFrame, slots: np.ndarray, column: str, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, and for a document that may link: key (of the set) and, once in each task, hashes."""
+    """doc_id, n_shingles, and for a document that may link: key (of the set) and, once in each task, hashes.
+
+    Hashes that no other document can have are in no intersection: they count in n_shingles and key alone.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +174,8 @@ def sets(docs: DataFrame, slots: np.ndarray, column: str, words: int, percent: i
         for batch in text.pieces(batches, column):
             offsets, hashes = shingles(batch.column(column), words)
             slot = hashes >> np.uint64(64 - SLOT_BITS)
-            seen = np.concatenate([[0], np.cumsum(bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8) & 1, dtype=np.int64)])
+            again = (bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+            seen = np.concatenate([[0], np.cumsum(again, dtype=np.int64)])
             sizes = np.diff(offsets)
             may = (sizes > 0) & (seen[offsets[1:]] - seen[offsets[:-1]] >= -(-percent * sizes // 100))
             keys, values = [None] * len(sizes), [None] * len(sizes)
@@ -159,7 +184,7 @@ def sets(docs: DataFrame, slots: np.ndarray, column: str, words: int, percent: i
                 keys[i] = hashlib.blake2b(part.tobytes(), digest_size=16).digest()
                 if keys[i] not in sent:
                     sent.add(keys[i])
-                    values[i] = part.view(np.int64)
+                    values[i] = part[again[offsets[i] : offsets[i + 1]]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "key", "hashes"],
@@ -169,30 +194,46 @@ def sets(docs: DataFrame, slots: np.ndarray, column: str, words: int, percent: i
 
 
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """key, n, prefix (the rarest shingles, of which linked nodes share one), central (the share of frequent ones)."""
+    """key, n, prefix (the rarest shingles, of which linked nodes share one), skip, central (the share of frequent ones).
+
+    The n - size(hashes) shingles that no other node has come first in every order: they are skipped, not listed.
+    """
     spark = nodes.sparkSession
-    counts = nodes.select(F.explode("hashes").alias("hash")).groupBy("hash").count()
-    frequent = counts.filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).collect()
+    ranges = ranges_for(nodes.select(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    drop = np.uint64(64 - LOW_BITS - (ranges.bit_length() - 1))
+
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (np.asarray(batch.column(0).flatten()).view(np.uint64) for batch in batches)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes in merged(batches):
+            found, count = np.unique(hashes, return_counts=True)
+            many = count > FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(found[many], pa.int64()), pa.array(count[many], pa.int64())], names=["hash", "count"])
+
+    counts = by_range(nodes.select("hashes"), hashes_of, ranges).mapInArrow(often, "hash bigint, count bigint")
+    frequent = counts.orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).collect()
     shared = spark.sparkContext.broadcast(tuple(np.array(sorted(map(tuple, frequent)), np.int64).reshape(-1, 2).T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for batch in batches:
-            out, central = [], []
-            for part in _arrays(batch.column(batch.schema.names.index("hashes"))):
+            out, central, skip = [], [], []
+            for part, n in zip(_arrays(batch.column(batch.schema.names.index("hashes"))), batch.column("n").to_pylist()):
                 count = np.zeros(len(part), np.int64)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-                    count = np.where(known[at] == part, often[at], 0)
-                size = len(part) - needed(len(part), percent) + 1
-                out.append(part[np.lexsort((part, count))[:size]])
+                    short = (part.view(np.uint64) >> drop).astype(np.int64)
+                    at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                    count = np.where(known[at] == short, often[at], 0)
+                out.append(part[np.lexsort((part, count))[: len(part) - needed(n, percent) + 1]])
+                skip.append(n - len(part))
                 central.append(np.count_nonzero(count) / len(part))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("n"), pa.array(out, pa.list_(pa.int64())), pa.array(central, pa.float64())],
-                names=["key", "n", "prefix", "central"],
+                [batch.column("key"), batch.column("n"), pa.array(out, pa.list_(pa.int64())), pa.array(skip, pa.int64()), pa.array(central, pa.float64())],
+                names=["key", "n", "prefix", "skip", "central"],
             )
 
-    return nodes.select("key", "n", "hashes").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, central double")
+    return nodes.select("key", "n", "hashes").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, skip bigint, central double")
 
 
 class _Union:
@@ -271,7 +312,8 @@ def roots(nodes: DataFrame, percent: int) -> DataFrame:
     light = kept(prefixes(nodes, percent).withColumn("member", F.xxhash64("prefix", "n")))
     # Groups of identical prefix and size, and the prefix shingles that two groups share. Shingles
     # that the very same groups share say the same: the first in the common order stands for all.
-    pairs = light.select("member", "prefix").dropDuplicates(["member"]).select("member", F.posexplode("prefix").alias("pos", "via"))
+    pairs = light.select("member", "prefix", "skip").dropDuplicates(["member"]).select("member", "skip", F.posexplode("prefix").alias("at", "via"))
+    pairs = pairs.select("member", (F.col("at") + F.col("skip")).alias("pos"), "via")
     same = [F.bit_xor(F.xxhash64(F.lit(k), "member")).alias(f"x{k}") for k in (1, 2)]
     shared = pairs.groupBy("via").agg(F.count("*").alias("c"), F.min("pos").alias("low"), *same).filter("c > 1")
     shared = shared.groupBy("c", "x1", "x2").agg(F.min_by("via", "low").alias("via")).select("via")
@@ -314,7 +356,7 @@ def _across(rooted: DataFrame, pairs: DataFrame, hashes: DataFrame, percent: int
     that shingle is early enough in both orders: sets that link share one among the first
     n - overlap + 1 of either, with the overlap that their two sizes ask for.
     """
-    own = rooted.select("member", F.col("member").alias("via"), F.lit(0).alias("pos")).distinct()
+    own = rooted.select("member", F.col("member").alias("via"), F.lit(0).cast("bigint").alias("pos")).distinct()
     rows = kept(pairs.select("member", "via", "pos").unionByName(own).join(rooted.select("member", "key", "n", "root"), "member").drop("member"))
     main = rows.groupBy("via", "root").agg(F.count("*").alias("c")).groupBy("via").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
     rows = rows.join(kept(main.filter("roots > 1").drop("roots")), "via")
@@ -325,9 +367,11 @@ def _across(rooted: DataFrame, pairs: DataFrame, hashes: DataFrame, percent: int
     fits &= (F.col("pos") <= F.col("n") - overlap) & (F.col("pos2") <= F.col("n2") - overlap)
     met = rows.join(outside, "via").filter(fits).select("key", "key2", (F.col("n") + F.col("n2")).alias("all"))
     met = kept(met.distinct())
-    both = met.join(hashes, "key").join(hashes.select(F.col("key").alias("key2"), F.col("hashes").alias("hashes2")), "key2")
-    shared = F.size(F.array_intersect("hashes", "hashes2"))
-    return kept(both.filter(100 * shared >= percent * (F.col("all") - shared)).select(F.col("key").alias("member"), F.col("key2").alias("via")))
+    # The sets under the same names on both sides, so that they cross the network once for the two joins.
+    one = met.alias("met").join(hashes.alias("one"), F.col("met.key") == F.col("one.key"))
+    both = one.join(hashes.alias("two"), F.col("met.key2") == F.col("two.key"))
+    shared = F.size(F.array_intersect("one.hashes", "two.hashes"))
+    return kept(both.filter(100 * shared >= percent * (F.col("all") - shared)).select(F.col("met.key").alias("member"), F.col("met.key2").alias("via")))
 
 
 def join(docs: DataFrame, column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
