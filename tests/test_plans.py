@@ -146,6 +146,21 @@ def test_copies_against_brute_force(spark):
     assert repeated_records(df.limit(0), ("day",), ("k",), ("x", "y")).count() == 0
 
 
+def test_search_for_copies_does_not_shuffle_the_table(spark):
+    """Whatever Spark takes the size of the hashes for, only records that occur twice meet."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        rows = spark.range(3000).selectExpr("id % 2990 as k", "id % 7 as day", "concat('text', id) as x").repartition(4)
+        found = repeated_records(rows, ("day",), ("k",), ("x",))
+        got = {r.day: (r.same_key, r.same_record) for r in found.collect()}
+        plan = _plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(same for same, _ in got.values()) == 10 and not any(same for _, same in got.values())
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_indicator_file(spark, tmp_path):
     path = tmp_path / "indicators.csv"
     path.write_text("Month/Year,License Class,Trips Per Day,Unique Drivers,Unique Vehicles,Trips Per Day Shared\n"
