@@ -14,7 +14,8 @@ from veritally.packs import star
 
 def _lines(spark, d) -> DataFrame:
     i = Inputs(spark, d)
-    return checks.check(star.line_view(i.table("lineitem"), i.table("orders"), i.table("part")), star.LINES)
+    lines, orders = i.table("lineitem"), i.table("orders")
+    return checks.check(star.line_view(lines, orders, i.table("part")), star.LINES, star.line_records(lines, orders))
 
 
 def _events(spark, d) -> DataFrame:

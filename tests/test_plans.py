@@ -5,12 +5,13 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from catalog import star as catalog_star
 from veritally.functions import clock
 from veritally.functions.measures import change, tone
-from veritally.operators import files, volume
+from veritally.operators import checks, files, volume
 from veritally.operators.duplicates import repeated_records
 from veritally.operators.examples import example_records
-from veritally.packs import rideshare
+from veritally.packs import rideshare, star
 from veritally.plans import months
 from veritally.rules import Rule, RulePack
 from veritally.sources import readers, trip_fixture
@@ -161,6 +162,19 @@ def test_search_for_copies_does_not_shuffle_the_table(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_rules_on_copied_lines_read_the_lines_alone(spark):
+    """One join with the orders, and where an order occurs twice, the counts of the view all the same."""
+    lines, orders, part = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("lineitem", "orders", "part"))
+    twice = orders.unionByName(orders.where("o_orderkey % 5 = 0"))
+    for heads, alone in ((orders, True), (twice, False)):
+        records = star.line_records(lines, heads)
+        assert (records is not None) == alone
+        view = star.line_view(lines, heads, part)
+        found = checks.check(view, star.LINES, records)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, checks.check(view, star.LINES).collect()))
+    assert _plan(catalog_star.queries()["star_lines"](spark, FOLDER)).count("FileScan parquet [o_orderkey") == 1
+
+
 def test_indicator_file(spark, tmp_path):
     path = tmp_path / "indicators.csv"
     path.write_text("Month/Year,License Class,Trips Per Day,Unique Drivers,Unique Vehicles,Trips Per Day Shared\n"

@@ -21,10 +21,18 @@ DIMENSIONS = {
 def line_view(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     """Order lines with their order's date and status, and whether their part is known."""
     heads = orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
-    lines = lineitem.join(heads, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return mark_known(lines, {"l_partkey": "part_known"}, part, "p_partkey").withColumn(
-        "ship_month", F.date_format("l_shipdate", "yyyy-MM")
-    )
+    lines = _dated(lineitem).join(heads, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return mark_known(lines, {"l_partkey": "part_known"}, part, "p_partkey")
+
+
+def line_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame | None:
+    """The records of the line view for rules on copies: the lines alone, unless an order that occurs twice repeats its lines there."""
+    keys = orders.where("o_orderkey IS NOT NULL").groupBy("o_orderkey").count()
+    return _dated(lineitem) if keys.where("count > 1").isEmpty() else None
+
+
+def _dated(lineitem: DataFrame) -> DataFrame:
+    return lineitem.withColumn("ship_month", F.date_format("l_shipdate", "yyyy-MM"))
 
 
 LINES = RulePack(
