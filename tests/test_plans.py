@@ -127,6 +127,18 @@ def test_examples_are_the_first_by_order(spark):
     assert plan.count("FileScan parquet") == 1 and plan.count("WindowGroupLimit") == 2
 
 
+def test_examples_look_at_early_records_first(spark):
+    """Rules done in a group are not evaluated there again; rare rules, small groups and null groups still get theirs."""
+    rules = (rule_of("A", "v >= 0", "v"), rule_of("B", "v % 1000 = 7", "v"), rule_of("C", "v < 0", "v"))
+    pack = RulePack("p", rules, ("g",), {"d": ""}, sample_order="pmod(v * 7919, 10007)", sample_span=(0, 10006))
+    df = spark.range(9000).selectExpr("IF(id < 5, NULL, IF(id % 3000 = 11, 'small', IF(id % 2 = 0, 'x', 'y'))) as g", "id as v").repartition(5)
+    first = example_records(df, pack, 3, ("g",))
+    plain = example_records(df, RulePack("p", rules, ("g",), {"d": ""}, sample_order="pmod(v * 7919, 10007)"), 3, ("g",))
+    assert sorted(map(repr, first.collect())) == sorted(map(repr, plain.collect()))
+    assert "_done" in _plan(first) and "_done" not in _plan(plain)
+    assert first.where("g IS NULL").count() == 3 and first.where("g = 'small' AND rule = 'A'").count() == 3
+
+
 def rule_of(name, fails, *shows):
     return Rule(name, name, "d", "error", "defect", fails=fails, shows=shows or ("v",))
 
