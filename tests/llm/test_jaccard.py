@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from common import TEXTS, edge_docs, words
 
+from veritally.llm import components as parts
 from veritally.llm import jaccard
 from veritally.llm.components import components
 
@@ -91,3 +93,50 @@ def test_small_tables_of_components_take_few_tasks(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
         spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+def _jobs(spark, group, action):
+    """What the action gives, and the number of Spark jobs that it took."""
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return action(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("task_rows", [200_000, 40])
+def test_components_of_chains_and_hot_keys(spark, monkeypatch, task_rows):
+    """Chains, a key that many members have, and lone members, as numbers and as bytes, dealt by chance; in few jobs."""
+    monkeypatch.setattr(parts, "TASK_ROWS", task_rows)
+    chain = [(m, v) for m in range(500) for v in (m, m + 1)]
+    hot = [(1000 + m, 5000) for m in range(300)]
+    rows = chain + hot + [(2000 + m, 6000 + m) for m in range(50)] + [(2000, 5000), (3000, 0)]
+    expected = {m: 0 if m < 500 or m == 3000 else 1000 if m < 2001 else m for m, _ in rows}
+    random.Random(3).shuffle(rows)
+    pairs = spark.createDataFrame(rows, "member bigint, via bigint").repartition(7)
+    found, jobs = _jobs(spark, f"chains {task_rows}", lambda: components(pairs).collect())
+    assert len(found) == len(expected) and {r.member: r.root for r in found} == expected
+    if task_rows == 200_000:
+        assert jobs < 20, jobs
+    names = pairs.selectExpr("cast(lpad(cast(member as string), 5, '0') as binary) member", "cast(cast(via as string) as binary) via")
+    assert {int(bytes(r.member)): int(bytes(r.root)) for r in components(names).collect()} == expected
+    assert components(pairs.limit(0)).count() == 0
+
+
+def test_repeated_slots_come_in_one_job(spark):
+    """As numbers of slots where few are set, as bits where most are."""
+    rows = [(i, " ".join(f"w{i % 7}x{k}" for k in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        slots, jobs = _jobs(spark, "slots", lambda: jaccard.repeated_slots(docs, "text", 5))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    hashes = np.unique(jaccard.shingles(docs.toArrow()["text"].combine_chunks(), 5)[1])
+    expected = np.zeros(len(slots), np.uint8)
+    at = (hashes >> np.uint64(64 - jaccard.SLOT_BITS)).astype(np.int64)
+    np.bitwise_or.at(expected, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    assert (slots == expected).all() and jobs < 8, jobs

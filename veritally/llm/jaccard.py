@@ -122,25 +122,35 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def repeated_slots(docs: DataFrame, column: str, words: int) -> np.ndarray:
-    """Bits of the hash slots that hold a hash of two or more rows. Its size does not depend on the data."""
+    """Bits of the hash slots that hold a hash of two or more rows. Its size does not depend on the data.
+
+    A range is a block of these bits; it comes to the driver as numbers of slots or as bits, whichever is shorter, all ranges in one job.
+    """
     chars = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
     ranges = ranges_for(chars // WORD_CHARS)
     drop = LOW_BITS + ranges.bit_length() - 1 - SLOT_BITS
+    block = (1 << SLOT_BITS) // ranges
 
     def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         return (shingles(batch.column(column), words)[1] for batch in text.pieces(batches, column))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes in merged(batches):
-            slots = np.unique(hashes[1:][hashes[1:] == hashes[:-1]] >> drop).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([slots.tobytes()], pa.binary())], names=["slots"])
-
-    found = by_range(docs.select(column), hashes_of, ranges).mapInArrow(count, "slots binary")
-    packed = np.zeros(1 << SLOT_BITS - 3, np.uint8)
-    for row in found.toLocalIterator():
-        slots = np.frombuffer(row["slots"], np.int32)
-        np.bitwise_or.at(packed, slots >> 3, (128 >> (slots & 7)).astype(np.uint8))
-    return packed
+            number = int(hashes[0]) >> LOW_BITS
+            slots = (np.unique(hashes[1:][hashes[1:] == hashes[:-1]] >> drop) - number * block).astype(np.int32)
+            sent = slots if 32 * len(slots) < block else np.packbits(np.isin(np.arange(block, dtype=np.int32), slots))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([sent.tobytes()], pa.binary())], names=["range", "slots"])
+
+    found = by_range(docs.select(column), hashes_of, ranges).mapInArrow(count, "range int, slots binary").toArrow()
+    packed = np.zeros((ranges, block >> 3), np.uint8)
+    for number, sent in zip(found["range"].to_pylist(), found["slots"]):
+        sent = np.frombuffer(sent.as_py(), np.uint8)
+        if len(sent) == block >> 3:
+            packed[number] = sent
+        else:
+            slots = sent.view(np.int32)
+            np.bitwise_or.at(packed[number], slots >> 3, (128 >> (slots & 7)).astype(np.uint8))
+    return packed.reshape(-1)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
