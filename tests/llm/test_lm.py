@@ -1,5 +1,9 @@
+import functools
 import math
+import os
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +11,8 @@ import pytest
 from common import TEXTS, edge_docs, words
 
 from pyspark.sql import functions as F
-from veritally.llm import bpe, lm
+from veritally.llm import bpe, lm, queries
+from veritally.session import shared_dir
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 SMALL = lm.Shape(context=4, stride=6, width=8, hidden=10, own_inputs=50, own_classes=20, shared_classes=6)
@@ -167,3 +172,30 @@ def test_every_training_window_is_learned_from(spark, ranks):
     every = lm.laid_out(offsets, ids, owner, first, SMALL)
     assert made.gradients(every)[0] < start.gradients(every)[0]
     assert len(shared) == 0 or made.vocabulary.n_classes - 1 not in shared
+
+
+def test_pairs_that_tasks_do_not_know_are_joined(spark, ranks, monkeypatch):
+    docs = edge_docs(spark)
+    monkeypatch.setattr(lm, "MOST_KNOWN", 3)
+    scores = []
+    for most in (lm.MOST_PAIRS, 3):
+        monkeypatch.setattr(lm, "MOST_PAIRS", most)
+        model, stays = lm.learn(docs.coalesce(1), ranks, shape=SMALL, training=QUICK)
+        assert (stays.pairs is None) == (most > 3)
+        scores.append(sorted((str(r.doc_id), str(r.text), r.score, r.base_score) for r in lm.score(docs.coalesce(1), model, stays, ranks).collect()))
+    for one, other in zip(*scores, strict=True):
+        assert one[:2] == other[:2] and np.allclose(one[2:], other[2:], rtol=1e-9)
+
+
+def test_query_keeps_less_than_the_texts_on_disk(spark, tmp_path, monkeypatch):
+    """Neither texts nor a row for each id of a rare word stay in the folder that executors share."""
+    rnd = np.random.default_rng(5)
+    made = [" ".join("".join(map(chr, rnd.integers(97, 123, 8))) for _ in range(200)) for _ in range(40)]
+    spark.createDataFrame([(k, made[k % 40]) for k in range(1200)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(lm, "MOST_KNOWN", 3)
+    monkeypatch.setattr(lm, "learn", functools.partial(lm.learn, shape=SMALL, training=QUICK))
+    used = lambda: sum((Path(at) / f).stat().st_size for at, _, files in os.walk(urlparse(shared_dir(spark)).path) for f in files)
+    before = used()
+    rows = queries.attention_lm(spark, str(tmp_path)).collect()
+    assert len(rows) == 1200 and "text" not in rows[0] and len({r.doc_id for r in rows}) == 1200
+    assert used() - before < sum(len(made[k % 40]) for k in range(1200)) / 2
