@@ -140,3 +140,37 @@ def test_repeated_slots_come_in_one_job(spark):
     at = (hashes >> np.uint64(64 - jaccard.SLOT_BITS)).astype(np.int64)
     np.bitwise_or.at(expected, at >> 3, (128 >> (at & 7)).astype(np.uint8))
     assert (slots == expected).all() and jobs < 8, jobs
+
+
+@pytest.mark.parametrize("slot_bits", [26, 16])
+def test_only_sets_that_share_enough_are_shipped(spark, monkeypatch, slot_bits):
+    """However full the bit table of repeated shingles is: neither other documents nor exact copies alone have their sets shipped."""
+    rnd = random.Random(7)
+    words_of = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = [(k, " ".join(words_of(rnd.randint(100, 300)))) for k in range(150)]  # alone
+    rows += [(k + 1000, rows[k][1]) for k in range(30)]  # exact copies of some of them
+    for k in range(0, 300, 2):  # pairs of near copies, whose shingles fill the small table
+        own = words_of(600)
+        rows += [(5000 + k, " ".join(own)), (5001 + k, " ".join([*own[:300], "other", *own[301:]]))]
+    shipped = []
+    real = jaccard.roots
+    monkeypatch.setattr(jaccard, "SLOT_BITS", slot_bits)
+    monkeypatch.setattr(jaccard, "roots", lambda nodes, percent: shipped.append(nodes.count()) or real(nodes, percent))
+    found = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert found == {i: i - 1000 if 1000 <= i < 5000 else i - i % 2 if i >= 5000 else i for i, _ in rows}
+    assert shipped == [300]
+
+
+def test_sets_of_any_size_pass_that_link(spark):
+    """Sizes about the bound up to which all shingles are looked up, with as few shared ones as link; a null id and equal rows among them."""
+    rows, expected = [], {}
+    for size in [*range(1, 12), *range(60, 90, 3), 200]:
+        fewest = next(n for n in range(size + 1) if jaccard.linked(n, size, size, 80))
+        own = [f"s{size}x{k}" for k in range(size + 4)]
+        # Words changed at the end: as many shingles differ.
+        near = [*own[: len(own) - (size - fewest)], *(f"n{size}x{k}" for k in range(size - fewest))]
+        rows += [(size, " ".join(own)), (1000 + size, " ".join(near)), (1000 + size, " ".join(near)), (None, " ".join(own))]
+        expected |= {size: size, 1000 + size: size}
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == brute(rows)
+    assert {r.doc_id: r.component_id for r in found if r.doc_id} == expected and all(r.component_id == r.n_shingles for r in found if r.doc_id is None)

@@ -3,9 +3,10 @@
 A document's set is its distinct shingles of five words, as 64-bit hashes; two documents link at
 a similarity of 0.8 or more. Documents of equal sets are one node from the start.
 
-1. Which shingles may occur in two documents is counted over all of them, by ranges of the hash,
-   and kept as a bit per hash slot; a bit too many does no harm. A document with too few such shingles links with nothing and goes
-   no further; the others, near and exact copies for the most part, ship their sets.
+1. Of each distinct set, all shingles or a fixed part of them meet by ranges of the hash, with a digest of the set; those that two sets
+   have are counted for each. A set of which too few are shared links with nothing and goes no further. What is known of the others is
+   one bit for one row of each, however many shingles there are. Of these rows, near copies for the most part, the shingles that
+   occur twice are marked in a bit for each hash slot (a bit too many does no harm), and the marked ones are shipped.
 2. Shingles of a node are ordered from rare to frequent. Its prefix is so many that two nodes that
    link must share one. Nodes of identical prefix and size form a group; groups that share
    prefix shingles, directly or through others, form a hub.
@@ -39,8 +40,12 @@ from veritally.llm.components import components, kept
 WORDS = 5
 #: Similarity in percent.
 PERCENT = 80
-#: Slots that tell which hashes may repeat, as a power of two: 8 MB in each worker.
+#: Slots that tell which hashes may repeat, or which rows may link, as a power of two: 8 MB in each worker.
 SLOT_BITS = 26
+#: Of eight shingles so many are looked up, but all of sets of at most WHOLE.
+LOOKED_UP, WHOLE = 4, 64
+#: Bits of a set's digest that go with its shingles.
+DIGEST_BITS = 40
 #: A shingle in more nodes than this is frequent; so many frequent ones are known by number.
 FREQUENT, MOST_FREQUENT = 64, 100_000
 #: Shingles of the nodes of one chunk, and central nodes that each chunk of a hub meets.
@@ -98,11 +103,8 @@ def by_range(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], It
         def blocks() -> pa.RecordBatch:
             hashes = np.sort(np.concatenate(waiting))
             waiting.clear()
-            at = np.searchsorted(hashes, np.arange(ranges, dtype=np.uint64) << shift)
             low = (hashes >> (shift - np.uint64(LOW_BITS))).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            parts = np.split(low, at[1:])
-            real = [i for i, part in enumerate(parts) if len(part)]
-            return pa.RecordBatch.from_arrays([pa.array(real, pa.int32()), pa.array([parts[i].tobytes() for i in real], pa.binary())], names=["range", "hashes"])
+            return _blocks((hashes >> shift).astype(np.int64), low, ranges)
 
         for hashes in hashes_of(batches):
             waiting.append(hashes)
@@ -111,7 +113,23 @@ def by_range(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], It
         if waiting:
             yield blocks()
 
-    return rows.mapInArrow(cut, "range int, hashes binary").repartition("range").sortWithinPartitions("range")
+    return _met(rows.mapInArrow(cut, BLOCKS))
+
+
+#: Hashes, packed, that go to one task.
+BLOCKS = "range int, hashes binary"
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """Each range in one task, its rows together."""
+    return blocks.repartition("range").sortWithinPartitions("range")
+
+
+def _blocks(numbers: np.ndarray, values: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """BLOCKS of values, which are in the order of their ranges' numbers."""
+    parts = np.split(values, np.searchsorted(numbers, np.arange(1, ranges)))
+    real = [i for i, part in enumerate(parts) if len(part)]
+    return pa.RecordBatch.from_arrays([pa.array(real, pa.int32()), pa.array([parts[i].tobytes() for i in real], pa.binary())], names=["range", "hashes"])
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -121,29 +139,24 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.sort(low[:, 0] | low[:, 1] << 8 | low[:, 2] << 16 | number << LOW_BITS)
 
 
-def repeated_slots(docs: DataFrame, column: str, words: int) -> np.ndarray:
-    """Bits of the hash slots that hold a hash of two or more rows. Its size does not depend on the data.
+def _slots(found: DataFrame, marked: Callable[[np.ndarray], np.ndarray], ranges: int) -> np.ndarray:
+    """Bits of the hash slots of the marked ones among hashes dealt by_range. Its size does not depend on the data.
 
     A range is a block of these bits; it comes to the driver as numbers of slots or as bits, whichever is shorter, all ranges in one job.
     """
-    chars = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
-    ranges = ranges_for(chars // WORD_CHARS)
     drop = LOW_BITS + ranges.bit_length() - 1 - SLOT_BITS
     block = (1 << SLOT_BITS) // ranges
 
-    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        return (shingles(batch.column(column), words)[1] for batch in text.pieces(batches, column))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes in merged(batches):
             number = int(hashes[0]) >> LOW_BITS
-            slots = (np.unique(hashes[1:][hashes[1:] == hashes[:-1]] >> drop) - number * block).astype(np.int32)
+            slots = (np.unique(marked(hashes) >> drop) - number * block).astype(np.int32)
             sent = slots if 32 * len(slots) < block else np.packbits(np.isin(np.arange(block, dtype=np.int32), slots))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([sent.tobytes()], pa.binary())], names=["range", "slots"])
 
-    found = by_range(docs.select(column), hashes_of, ranges).mapInArrow(count, "range int, slots binary").toArrow()
+    sent_by_range = found.mapInArrow(count, "range int, slots binary").toArrow()
     packed = np.zeros((ranges, block >> 3), np.uint8)
-    for number, sent in zip(found["range"].to_pylist(), found["slots"]):
+    for number, sent in zip(sent_by_range["range"].to_pylist(), sent_by_range["slots"]):
         sent = np.frombuffer(sent.as_py(), np.uint8)
         if len(sent) == block >> 3:
             packed[number] = sent
@@ -153,6 +166,153 @@ def repeated_slots(docs: DataFrame, column: str, words: int) -> np.ndarray:
     return packed.reshape(-1)
 
 
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the slots of hashes have their bits."""
+    slot = hashes >> np.uint64(65 - (8 * len(bits)).bit_length())
+    return (bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _hashes(docs: DataFrame, column: str) -> int:
+    """About how many shingles the texts have."""
+    return docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0] // WORD_CHARS
+
+
+def repeated_slots(docs: DataFrame, column: str, words: int, hashes: int | None = None) -> np.ndarray:
+    """Bits of the hash slots that hold a hash of two or more rows; of about so many hashes, if that is known."""
+    ranges = ranges_for(_hashes(docs, column) if hashes is None else hashes)
+
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (shingles(batch.column(column), words)[1] for batch in text.pieces(batches, column))
+
+    return _slots(by_range(docs.select(column), hashes_of, ranges), lambda found: found[1:][found[1:] == found[:-1]], ranges)
+
+
+def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """A hash of each row's id and text."""
+    offsets, data = text.raw(batch.column(column).fill_null(""))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])), np.uint64, batch.num_rows)
+    ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    hashes = (hashes ^ ids * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+    return hashes ^ hashes >> np.uint64(32)
+
+
+#: Rows of documents among BLOCKS, under ranges below 0: what joins need, and how many looked up shingles a set must share.
+WITH_ROWS = f"{BLOCKS}, doc_id bigint, n_shingles bigint, key binary, need bigint, digest bigint, row bigint"
+
+
+def looked_up(docs: DataFrame, column: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, key (of the set), need, digest and row of all documents; digest and shared, the looked up shingles that another set has.
+
+    Sets that link share all shingles but n - needed of either, so as many of the looked up ones. A partner of a set of
+    WHOLE shingles may be larger; all of its shingles are there too. Sets of equal digests are taken for one in `shared`,
+    which then is too large.
+    """
+    hashes = _hashes(docs, column)
+    ranges, fewer = ranges_for(hashes), ranges_for(hashes // 4)
+    shift, kept_bits = np.uint64(64 - (ranges.bit_length() - 1)), LOW_BITS + fewer.bit_length() - 1
+    names = [field.split()[0] for field in WITH_ROWS.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, sent, seen = [], set(), 0  # sent: a set's shingles leave the task once
+
+        def blocks() -> pa.RecordBatch:
+            hashes, owners = (np.concatenate(parts) for parts in zip(*waiting))
+            waiting.clear()
+            numbers = (hashes >> shift).astype(np.uint16)
+            order = np.argsort(numbers, kind="stable")
+            low = (hashes << (np.uint64(64) - shift) >> np.uint64(64 - LOW_BITS)) << np.uint64(DIGEST_BITS) | owners
+            return _filled(_blocks(numbers[order].astype(np.int64), low[order], ranges))
+
+        for batch in text.pieces(batches, column, text.STEP_BYTES // 2):
+            offsets, hashes = shingles(batch.column(column), words)
+            sizes, keys, n = np.diff(offsets), [None] * batch.num_rows, batch.num_rows
+            digests, new = np.zeros(n, np.uint64), np.zeros(n, bool)
+            for i in np.flatnonzero(sizes).tolist():
+                keys[i] = hashlib.blake2b(hashes[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest()
+                digests[i] = int.from_bytes(keys[i][:8]) >> (64 - DIGEST_BITS)
+                new[i] = keys[i] not in sent
+                sent.add(keys[i])
+            owner = text.owners(offsets)
+            part = (hashes & np.uint64(7)) < LOOKED_UP
+            of_part = np.bincount(owner[part], minlength=n)
+            need = np.where(sizes <= WHOLE, sizes, of_part) - (sizes - -(-percent * sizes // 100))
+            goes = (part | (percent * sizes <= 100 * WHOLE)[owner]) & new[owner]
+            waiting.append((hashes[goes], digests[owner[goes]]))
+            numbers = -1 - (seen + np.arange(n)) % MOST_RANGES
+            seen += n
+            arrays = [numbers, sizes, need, digests.astype(np.int64), _rows(batch, column).view(np.int64)]
+            yield _filled(pa.RecordBatch.from_arrays(
+                [*map(pa.array, arrays), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["range", "n_shingles", "need", "digest", "row", "doc_id", "key"]
+            ))
+            if sum(len(part) for part, _ in waiting) > 1_000_000:
+                yield blocks()
+        if waiting:
+            yield blocks()
+
+    def _filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = {"range": pa.int32(), "hashes": pa.binary(), "key": pa.binary()}
+        have = batch.schema.names
+        arrays = [batch.column(name).cast(kinds.get(name, pa.int64())) if name in have else pa.nulls(batch.num_rows, kinds.get(name, pa.int64())) for name in names]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of documents as they are; of each range, the digests of sets that share shingles, once for each shingle."""
+        waiting, rows = [], []
+
+        def blocks_of() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first = int(np.searchsorted(batch.column("range").to_numpy(), 0))
+                if first:
+                    rows.append(batch.slice(0, first))
+                if first < batch.num_rows:
+                    yield batch.slice(first).select(["range", "hashes"])
+
+        def blocks() -> pa.RecordBatch:
+            digests = np.sort(np.concatenate(waiting))
+            waiting.clear()
+            short = digests >> np.uint64(DIGEST_BITS - kept_bits)
+            low = (short & np.uint64((1 << LOW_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            return _filled(_blocks((short >> np.uint64(LOW_BITS)).astype(np.int64), low, fewer))
+
+        for _, parts in by_key(blocks_of(), ["range"]):
+            found = np.unique(np.frombuffer(b"".join(part["hashes"] for part in parts), np.uint64))
+            low = found >> np.uint64(DIGEST_BITS)
+            same = np.concatenate([[False], low[1:] == low[:-1], [False]])
+            waiting.append(found[same[1:] | same[:-1]] & np.uint64((1 << DIGEST_BITS) - 1))
+            if sum(map(len, waiting)) > 1_000_000:
+                yield blocks()
+        yield from rows
+        if waiting:
+            yield blocks()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for digests in merged(batches):
+            found, count = np.unique(digests, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(count, pa.int64())], names=["digest", "shared"])
+
+    rows = kept(_met(docs.select(F.col("doc_id").cast("bigint"), column).mapInArrow(cut, WITH_ROWS)).mapInArrow(met, WITH_ROWS))
+    shared = _met(rows.filter("range >= 0").select("range", "hashes")).mapInArrow(sums, "digest bigint, shared bigint")
+    made = rows.filter("range < 0").withColumn("digest", F.shiftright("digest", DIGEST_BITS - kept_bits))
+    return made.select("doc_id", "n_shingles", "key", "need", "digest", "row"), shared
+
+
+def candidates(docs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """doc_id and text of the given rows of docs, by their hashes; a few more do no harm."""
+    least = ranges_for(0)
+
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (np.asarray(batch.column(0)).view(np.uint64) for batch in batches if batch.num_rows)
+
+    shared = docs.sparkSession.sparkContext.broadcast(_slots(by_range(rows.select("row"), hashes_of, least), lambda found: found, least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.pieces(batches, column):
+            yield batch.filter(pa.array(_marked(shared.value, _rows(batch, column))))
+
+    picked = docs.select(F.col("doc_id").cast("bigint"), F.col(column).cast("string").alias(column))
+    return picked.mapInArrow(run, picked.schema)
+
+
 def by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Runs of rows with equal keys in sorted batches; one run's rows are held at a time."""
 
@@ -183,8 +343,7 @@ def sets(docs: DataFrame, slots: np.ndarray, column: str, words: int, percent: i
         bits, sent = shared.value, set()
         for batch in text.pieces(batches, column):
             offsets, hashes = shingles(batch.column(column), words)
-            slot = hashes >> np.uint64(64 - SLOT_BITS)
-            again = (bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+            again = _marked(bits, hashes)
             seen = np.concatenate([[0], np.cumsum(again, dtype=np.int64)])
             sizes = np.diff(offsets)
             may = (sizes > 0) & (seen[offsets[1:]] - seen[offsets[:-1]] >= -(-percent * sizes // 100))
@@ -386,13 +545,17 @@ def _across(rooted: DataFrame, pairs: DataFrame, hashes: DataFrame, percent: int
 
 def join(docs: DataFrame, column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, its own included)."""
-    made = kept(sets(docs, repeated_slots(docs, column, words), column, words, percent))
-    nodes = made.filter(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("hashes", ignorenulls=True).alias("hashes")
-    )
-    nodes = kept(nodes)
-    found = roots(nodes.drop("label"), percent)
-    labels = nodes.select("key", "label").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    made, shared = looked_up(docs, column, words, percent)
+    firsts = [F.first(name).alias(name) for name in ("n_shingles", "need", "digest")]
+    distinct = made.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("label"), F.min("row").alias("row"), *firsts)
+    distinct = kept(distinct.join(shared, "digest", "left").withColumn("may", F.coalesce("shared", F.lit(0)) >= F.col("need")).select("key", "label", "n_shingles", "row", "may"))
+    may = distinct.filter("may")
+    hashes = may.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    rows = candidates(docs, may, column)
+    shipped = sets(rows, repeated_slots(rows, column, words, hashes), column, words, percent).filter(F.col("key").isNotNull())
+    nodes = kept(shipped.groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("hashes", ignorenulls=True).alias("hashes")))
+    found = roots(nodes, percent)
+    labels = distinct.select("key", "label").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = labels.groupBy("root").agg(F.min("label").alias("component_id"))
     by_set = kept(labels.join(named, "root").select("key", "component_id"))
     return made.join(by_set, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
