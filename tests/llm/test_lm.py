@@ -1,6 +1,8 @@
 import functools
 import math
 import os
+import time
+import timeit
 from collections import Counter
 from pathlib import Path
 from urllib.parse import urlparse
@@ -11,7 +13,7 @@ import pytest
 from common import TEXTS, edge_docs, words
 
 from pyspark.sql import functions as F
-from veritally.llm import bpe, lm, queries
+from veritally.llm import bpe, lm, queries, text
 from veritally.session import shared_dir
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -199,3 +201,16 @@ def test_query_keeps_less_than_the_texts_on_disk(spark, tmp_path, monkeypatch):
     rows = queries.attention_lm(spark, str(tmp_path)).collect()
     assert len(rows) == 1200 and "text" not in rows[0] and len({r.doc_id for r in rows}) == 1200
     assert used() - before < sum(len(made[k % 40]) for k in range(1200)) / 2
+
+
+def test_words_are_listed_without_a_scalar_for_each():
+    """Every pass over all windows lists the words of its texts: the same strings, in a fraction of to_pylist's time."""
+    made = lm.pa.array([f"w{i}é" for i in range(200_000)] + ["", "a\x00b", "中文 😀"])
+    clock = lambda step: min(timeit.repeat(step, number=1, repeat=3, timer=time.process_time))
+    assert text.listed(made) == made.to_pylist() and text.listed(made[:0]) == []
+    assert text.listed(lm.pa.chunked_array([made[:5], made[5:9]])) == made[:9].to_pylist()
+    spelling = lm.Spelling(RANKS)
+    texts = lm.pa.array([" ".join(made[:50_000].to_pylist())])
+    spelling.spell(texts)
+    assert clock(lambda: text.listed(made)) < clock(made.to_pylist) / 2
+    assert clock(lambda: spelling.spell(texts)) < clock(made[:50_000].to_pylist)
